@@ -57,8 +57,10 @@ def components(scratch: Scratch, edges: DataFrame, rule: Rule = hook_to_smallest
     level, levels = 0, []
     left = scratch.save(undirected(edges), "edges")
     while not left.isEmpty():
+        before = scratch.held()
         assigned = scratch.save(rule(scratch, left, level), f"level{level}")
         levels.append(assigned)
+        scratch.keep(*before, assigned)
         smaller = scratch.save(contract(left, assigned), "edges")
         scratch.drop(left)
         left, level = smaller, level + 1

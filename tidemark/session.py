@@ -75,9 +75,17 @@ class Scratch:
                 self._delete(path)
         self.tables = [(t, p) for t, p in self.tables if not any(t is x for x in gone)]
 
+    def held(self) -> list[DataFrame]:
+        """The tables not yet dropped."""
+        return [table for table, _ in self.tables]
+
+    def keep(self, *wanted: DataFrame) -> None:
+        """Drop every other table."""
+        self.drop(*(t for t, _ in self.tables if not any(t is x for x in wanted)))
+
     def finish(self, df: DataFrame, tag: str = "result") -> DataFrame:
         result = self.save(df, tag)
-        self.drop(*(t for t, _ in self.tables if t is not result))
+        self.keep(result)
         return result
 
     def _delete(self, path: str) -> None:
