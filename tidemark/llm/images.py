@@ -24,3 +24,11 @@ def records(table: DataFrame, id_column: str, *extra: Column) -> DataFrame:
 def valid_classes(classes: DataFrame) -> DataFrame:
     """The distinct class ids of the taxonomy."""
     return classes.select("class_id").where(F.col("class_id").isNotNull()).distinct()
+
+
+def class_ids(classes: DataFrame, most: int = 10_000) -> list[int]:
+    """The taxonomy as a list; an error if it has more than ``most`` classes."""
+    rows = valid_classes(classes).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a taxonomy of more than {most} classes cannot be a literal")
+    return sorted(r.class_id for r in rows)
