@@ -22,8 +22,14 @@ from tidemark.functions import bits
 HOT = 2000
 
 
-def _keyed(hashes: DataFrame, choices: list[int]) -> DataFrame:
-    keys = F.array(*(F.col("hash").bitwiseAND(F.lit(bits.signed(m))) for m in choices))
+def choices_of(threshold: int = 3, agree: int = 2) -> list[int]:
+    """The masks of every choice of ``agree`` of the ``threshold + agree`` runs."""
+    return bits.masks(list(range(64)), threshold + agree, agree)
+
+
+def segments(hashes: DataFrame, threshold: int = 3, agree: int = 2) -> DataFrame:
+    """``hash, choice, bucket``: the index rows of hashes, which can be stored and added to."""
+    keys = F.array(*(F.col("hash").bitwiseAND(F.lit(bits.signed(m))) for m in choices_of(threshold, agree)))
     return hashes.select("hash", F.posexplode(keys).alias("choice", "bucket"))
 
 
@@ -54,12 +60,17 @@ def hamming_join(
     groups of exact copies collapsed beforehand, so that a much-copied
     picture is one row here.
     """
-    self_join = right is None
-    parts = threshold + agree
-    choices = bits.masks(list(range(64)), parts, agree)
-    a = _keyed(left, choices)
-    b = a if self_join else _keyed(right, choices)
+    a = segments(left, threshold, agree)
+    return match_segments(a, None if right is None else segments(right, threshold, agree), threshold, agree, hot)
 
+
+def match_segments(
+    a: DataFrame, b: DataFrame | None = None, threshold: int = 3, agree: int = 2, hot: int = HOT
+) -> DataFrame:
+    """``hamming_join`` over rows that ``segments`` made, with the same ``threshold`` and ``agree``."""
+    self_join = b is None
+    b = a if self_join else b
+    choices = choices_of(threshold, agree)
     bucket = ["choice", "bucket"]
     sizes = a if self_join else a.select(*bucket).unionAll(b.select(*bucket))
     over = sizes.groupBy(*bucket).count().where(F.col("count") > hot).select(*bucket)
