@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import groups, history, mixing, overlap, proportions, related_splits, survivors, tokens
+from tidemark.llm import groups, history, mixing, overlap, proportions, quality, related_splits, survivors, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,4 +45,6 @@ def queries() -> dict[str, Query]:
         "p9_found": _over("documents", "mix_targets")(mixing.capped_sources),
         "p9_mix": _over("documents", "mix_targets")(mixing.mix),
         "p9_shares": _over("documents", "mix_targets")(mixing.shares),
+        "p10_found": _over("documents", "common_words")(lambda *t: quality.document_quality(*t).where(F.col("kind").isNotNull()).select("doc_id", "kind")),
+        "p10_statistics": _over("documents", "common_words")(quality.statistics_table),
     }
