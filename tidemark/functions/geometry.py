@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_pixels(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> dict[str, Column]:
     """Corners in pixels of a normalized box."""
     return {
@@ -38,24 +45,32 @@ def to_normalized(box: Column, width: Column, height: Column) -> dict[str, Colum
     }
 
 
+def _around(coords: Column) -> Column:
+    def box(xs: Column, ys: Column) -> Column:
+        return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+
+    return let(F.filter(coords, lambda v, i: i % 2 == 0), lambda xs: let(F.filter(coords, lambda v, i: i % 2 == 1), lambda ys: box(xs, ys)))
+
+
 def envelope(coords: Column) -> Column:
-    """The upright box around a flat ``x, y, x, y, ...`` array; null with fewer than three points or an odd count."""
-    xs = F.filter(coords, lambda v, i: i % 2 == 0)
-    ys = F.filter(coords, lambda v, i: i % 2 == 1)
-    box = F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
-    return F.when((F.size(coords) >= 6) & (F.size(coords) % 2 == 0) & F.forall(coords, lambda v: v.isNotNull()), box)
+    """The upright box around a flat ``x, y, x, y, ...`` array; null with fewer than three points, an odd count or a null."""
+    whole = (F.size(coords) >= 6) & (F.size(coords) % 2 == 0) & F.forall(coords, lambda v: v.isNotNull())
+    return F.when(whole, _around(coords))
 
 
 def yolo_shape(coords: Column) -> Column:
     """A normalized ``cx, cy, w, h`` struct of label coordinates: four as they are, a polygon as its envelope within the picture."""
     unit = F.transform(coords, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
-    box = envelope(unit)
     plain = F.struct(coords[0].alias("cx"), coords[1].alias("cy"), coords[2].alias("w"), coords[3].alias("h"))
-    around = F.struct(
-        ((box["x1"] + box["x2"]) / 2).alias("cx"), ((box["y1"] + box["y2"]) / 2).alias("cy"),
-        (box["x2"] - box["x1"]).alias("w"), (box["y2"] - box["y1"]).alias("h"),
-    )
-    return F.when(F.size(coords) == 4, plain).when(box.isNotNull(), around)
+
+    def centred(box: Column) -> Column:
+        return F.struct(
+            ((box["x1"] + box["x2"]) / 2).alias("cx"), ((box["y1"] + box["y2"]) / 2).alias("cy"),
+            (box["x2"] - box["x1"]).alias("w"), (box["y2"] - box["y1"]).alias("h"),
+        )
+
+    polygon = (F.size(coords) >= 6) & (F.size(coords) % 2 == 0)
+    return F.when(F.size(coords) == 4, plain).when(polygon, let(unit, lambda u: let(_around(u), centred)))
 
 
 def iou(a: Column, b: Column) -> Column:

@@ -9,9 +9,8 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def tokens(line: Column) -> Column:
-    """The blank-separated tokens of a line; an empty array for a blank one."""
-    bare = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
+    """The blank-separated tokens of a line; an empty array for a blank one, null for null."""
+    return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
 
 def number(token: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import CORNERS, iou
+from tidemark.functions.geometry import CORNERS, iou, let
 from tidemark.functions.scalars import ratio
 
 KEY = ["image_id", "class_id"]
@@ -37,11 +37,13 @@ def match(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> D
 
     def take(state, pred):
         overlaps = F.transform("truths", lambda g, i: F.when(F.array_contains(state["used"], i), F.lit(-1.0)).otherwise(iou(pred["box"], g["box"])))
-        best = F.array_max(overlaps)
-        hit = F.coalesce(best >= threshold, F.lit(False))
-        at = F.when(hit, (F.array_position(overlaps, best) - 1).cast("int"))
-        flag = F.struct(pred["box_idx"].alias("box_idx"), pred["conf"].cast("double").alias("conf"), hit.alias("hit"), at.alias("at"))
-        return F.struct(F.when(hit, F.array_append(state["used"], at)).otherwise(state["used"]).alias("used"), F.array_append(state["flags"], flag).alias("flags"))
+        place = lambda o, best: F.when(best >= threshold, (F.array_position(o, best) - 1).cast("int"))
+
+        def step(at):
+            flag = F.struct(pred["box_idx"].alias("box_idx"), pred["conf"].cast("double").alias("conf"), at.isNotNull().alias("hit"), at.alias("at"))
+            return F.struct(F.when(at.isNotNull(), F.array_append(state["used"], at)).otherwise(state["used"]).alias("used"), F.array_append(state["flags"], flag).alias("flags"))
+
+        return let(let(overlaps, lambda o: let(F.array_max(o), lambda best: place(o, best))), step)
 
     folded = grouped.select(*KEY, "truths", F.aggregate("preds", start, take)["flags"].alias("flags"))
     flat = folded.select(*KEY, "truths", F.explode("flags").alias("f"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.functions.geometry import envelope, yolo_shape
+from tidemark.functions.geometry import envelope, let, yolo_shape
 
 VOC_SCHEMA = (
     "struct<filename: string, size: struct<width: int, height: int>, "
@@ -27,11 +27,13 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 def yolo(lines: DataFrame) -> DataFrame:
     """``lines`` (with ``line``) and ``class_id, cx, cy, w, h``; polygons as their envelopes, null where the line is malformed."""
-    t = scalars.tokens(F.col("line"))
-    numbers = F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), scalars.number)
-    rows = lines.withColumn("class_id", scalars.class_id(F.get(t, F.lit(0)))).withColumn("_c", numbers)
-    shape = F.when(F.forall("_c", lambda v: v.isNotNull()), yolo_shape(F.col("_c")))
-    return rows.withColumn("_s", shape).select(*lines.columns, "class_id", *(F.col("_s")[c].alias(c) for c in ("cx", "cy", "w", "h")))
+    def parsed(t: Column) -> Column:
+        numbers = F.transform(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), scalars.number)
+        shape = let(numbers, lambda c: F.when(F.forall(c, lambda v: v.isNotNull()), yolo_shape(c)))
+        return let(shape, lambda s: F.struct(scalars.class_id(F.get(t, F.lit(0))).alias("class_id"), *(s[c].alias(c) for c in ("cx", "cy", "w", "h"))))
+
+    rows = lines.withColumn("_s", let(scalars.tokens(F.col("line")), parsed))
+    return rows.select(*lines.columns, *(F.col("_s")[c].alias(c) for c in ("class_id", "cx", "cy", "w", "h")))
 
 
 def per_image(labels: DataFrame, key: str = "stem") -> DataFrame:
@@ -41,11 +43,12 @@ def per_image(labels: DataFrame, key: str = "stem") -> DataFrame:
 
 def dota(lines: DataFrame) -> DataFrame:
     """``lines`` and ``native, x1, y1, x2, y2`` of oriented boxes: eight numbers and a category; other lines are left out."""
-    t = scalars.tokens(F.col("line"))
-    corners = F.transform(F.slice(t, 1, 8), scalars.number)
-    rows = lines.withColumn("_t", t).withColumn("_c", corners).where((F.size("_t") >= 9) & F.forall("_c", lambda v: v.isNotNull()))
-    box = rows.withColumn("_b", envelope(F.col("_c")))
-    return box.select(*lines.columns, F.get("_t", F.lit(8)).alias("native"), *(F.col("_b")[c].alias(c) for c in ("x1", "y1", "x2", "y2")))
+    def parsed(t: Column) -> Column:
+        corners = F.transform(F.slice(t, 1, 8), scalars.number)
+        return F.when(F.size(t) >= 9, F.struct(F.get(t, F.lit(8)).alias("native"), let(corners, envelope).alias("box")))
+
+    rows = lines.withColumn("_d", let(scalars.tokens(F.col("line")), parsed)).where(F.col("_d.box").isNotNull())
+    return rows.select(*lines.columns, F.col("_d.native").alias("native"), *(F.col(f"_d.box.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 def voc_objects(documents: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame]:

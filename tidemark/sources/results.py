@@ -59,9 +59,9 @@ def scrape_tables(texts: DataFrame, column: str = "text") -> DataFrame:
     """The other columns and ``row_no, cells`` of the table rows (bars at both ends) in markdown texts; rules are left out."""
     others = [c for c in texts.columns if c != column]
     lines = texts.select(*others, F.posexplode(F.split(column, r"\r\n|\n|\r")).alias("row_no", "line"))
-    rows = lines.where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:-]+$"))
-    inner = F.regexp_replace("line", r"^\s*\||\|\s*$", "")
-    return rows.select(*others, "row_no", F.transform(F.split(inner, r"\|", -1), F.trim).alias("cells"))
+    rows = lines.where(F.col("line").rlike(r"(?s)^[ \t]*\|.*\|[ \t]*\z") & ~F.col("line").rlike(r"^[ \t|:-]+\z"))
+    inner = F.regexp_replace("line", r"^[ \t]*\||\|[ \t]*\z", "")
+    return rows.select(*others, "row_no", F.transform(F.split(inner, r"\|", -1), lambda c: F.trim(c)).alias("cells"))
 
 
 def markdown(rows: DataFrame, most: int = 500) -> str:
