@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import bits
 
@@ -27,7 +28,7 @@ def low_frequencies(luminance: np.ndarray) -> np.ndarray:
     return (basis @ luminance.reshape(SIDE, SIDE) @ basis.T).ravel()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def coefficients(luminance: pd.Series) -> pd.Series:
     """The coefficients of arrays of 1024 grey values; null for any other length."""
     return luminance.map(lambda v: None if v is None or len(v) != SIDE * SIDE else low_frequencies(np.asarray(v, float)))

@@ -6,8 +6,9 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SIZE = "width int, height int"
+SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 
 def header_size(data: bytes) -> tuple[int, int] | None:
