@@ -10,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from tidemark.session import build_session
 
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4")
+    # Inputs are tiny: compiling and re-planning each of many small jobs would take most of the time.
+    conf = {"spark__sql__shuffle__partitions": "2", "spark__sql__codegen__wholeStage": "false", "spark__sql__adaptive__enabled": "false"}
+    session = build_session("tests", "local[4]", **conf)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

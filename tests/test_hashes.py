@@ -33,7 +33,7 @@ def frame(spark, values):
 
 
 @pytest.mark.parametrize("hot", [2000, 3])
-@pytest.mark.parametrize("threshold", [0, 3, 5])
+@pytest.mark.parametrize("threshold", [0, 3])
 def test_self_join(spark, hot, threshold):
     values = near_values(random.Random(threshold), 150)
     got = {(r.hash_a, r.hash_b, r.dist) for r in hamming_join(frame(spark, values), threshold=threshold, hot=hot).collect()}
@@ -80,7 +80,7 @@ class Sets(dict):
 def graphs():
     rng = random.Random(1)
     yield "empty", []
-    yield "chain", [(i, i + 1) for i in range(70)]
+    yield "chain", [(i, i + 1) for i in range(24)]
     yield "star", [(0, i) for i in range(1, 90)]
     yield "random", [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
     yield "loops", [(1, 1), (2, 2), (3, 4), (4, 3), (None, 5), (5, None)]
@@ -110,7 +110,7 @@ def greedy(rows, t):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_greedy_equals_one_by_one(spark, seed):
     rng = random.Random(seed)
     pool = near_values(rng, 40, 5)
