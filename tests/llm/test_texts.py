@@ -96,7 +96,7 @@ def corpus():
         207: ("00000000  8c 4a 98 f1 fa 55 70 eb 50 8b\n" * 2 + "00000010  48 a6 9a 00 5b aa 83 4b 8d 3d\n", "junk"),
         208: ("kvth nz bctlt jvjkb vpxcmdp wmgjzlt vrtxx qykh trsktm pqrhh vflzn cgbmzqw czcgzl tbvgkmm", "junk"),
         209: (PROSE.lower().replace(". ", ", ").strip(", "), None),
-        210: (PROSE * 3 + "\n- fender\n- crane", None),
+        210: (texts[5] + texts[6] + PROSE + "\n- fender\n- crane", None),
         211: (PROSE.strip() + "\n" + "\n".join(f"{k}\t{k * 3}\ttrawler\t0.5" for k in range(60)), "table"),
         212: (None, None), 213: ("", None), 214: (" \n\t ", None), 215: ("Ã\x83Â©t¤ ©ÂŸ �� Ã¼¶ ÂÃ©Ÿ¤ " * 8, "junk"),
     }
