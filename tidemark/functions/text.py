@@ -10,12 +10,12 @@ PLACEHOLDERS = ("", "unknown", "none", "na", "null", "tbd")
 # Picture suffixes that a stem may still carry.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 
-_BLANK = r"[\s  -​　﻿]"
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
 
 
 def strip(text: Column) -> Column:
-    """Without blanks of any kind at either end."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    """Without blanks of any kind at either end; linear also where blanks fill most of a text."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def word(text: Column) -> Column:

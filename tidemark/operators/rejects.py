@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import let
 from tidemark.functions.text import strip
 
 # The columns of a report line.
@@ -44,16 +45,17 @@ REPORT_RULES = (
 
 
 def _well_quoted(pieces: Column) -> Column:
-    last = F.size(pieces) - 1
-
-    def outside_ok(piece: Column, at: Column) -> Column:
+    def outside_ok(piece: Column, at: Column, last: Column) -> Column:
         doubled_or_edge = (piece == "") & (at > 0) & (at < last)
         after_close = (at == 0) | piece.startswith(",") | ((at == last) & (piece == ""))
         before_open = (at == last) | piece.endswith(",") | ((at == 0) & (piece == ""))
         return (at % 2 == 1) | doubled_or_edge | (after_close & before_open)
 
-    ok = F.transform(pieces, lambda piece, at: outside_ok(piece, at))
-    return (last % 2 == 0) & F.forall(ok, lambda x: x)
+    def ok(held: Column, last: Column) -> Column:
+        return (last % 2 == 0) & F.forall(F.transform(held, lambda piece, at: outside_ok(piece, at, last)), lambda x: x)
+
+    # Both are named many times within the lambda, and would be computed anew for each piece.
+    return let(pieces, lambda held: let(F.size(held) - 1, lambda last: ok(held, last)))
 
 
 def _cells(pieces: Column) -> Column:
