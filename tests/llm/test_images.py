@@ -100,7 +100,7 @@ def test_related(spark, hot):
 
 
 def test_split_shares(spark):
-    rows = [dict.fromkeys(made(1, 1)[0], None) | {"item_id": k} for k in range(400)]
+    rows = [dict.fromkeys(made(12, 1)[0], None) | {"item_id": k} for k in range(400)]
     counts = Counter(r.new_split for r in related_splits.assign_splits(frame(spark, rows, ITEM)).collect())
     assert counts == {"train": 280, "val": 80, "test": 40}
     with pytest.raises(ValueError, match="sum to 1"):
@@ -251,4 +251,4 @@ def test_empty(spark, dims):
     pairs = spark.createDataFrame([], "pair_id bigint, item_a bigint, item_b bigint, verdict string, matched_at timestamp_ntz")
     for result in (related_splits.divided_groups(items), related_splits.assign_splits(items), proportions.draw(items, *dims, targets), history.screened(items, new), survivors.fuse(items, *dims), groups.consolidate(pairs), overlap.overlapping_pairs(items), overlap.overlap_report(items)):
         assert result.count() == 0
-    assert history.screened(items, frame(spark, news(5, 1, made(3, 1)), NEW)).where(F.col("accepted")).count() > 0
+    assert history.screened(items, frame(spark, news(12, 1, made(12, 1)), NEW)).where(F.col("accepted")).count() > 0
