@@ -10,16 +10,16 @@ from tidemark.operators import augment, evaluate, naming, split, validate
 from tidemark.operators.ranking import hashed_rank
 
 
-@pytest.mark.parametrize(("n", "want"), [(0, (0, 0, 0)), (1, (1, 0, 0)), (2, (1, 1, 0)), (10, (7, 2, 1)), (8, (5, 2, 1)), (13, (9, 3, 1))])
+@pytest.mark.parametrize(("n", "want"), [(0, (0, 0, 0)), (1, (1, 0, 0)), (2, (1, 1, 0)), (10, (7, 2, 1)), (8, (6, 1, 1)), (13, (9, 3, 1))])
 def test_allocation(spark, n, want):
     row = spark.range(1).select(split.largest_remainder(F.lit(n), 0.2, 0.1).alias("c")).first().c
     assert sum(row) == n and (n == 2 or tuple(row) == want)
 
 
 def test_hashed_rank(spark):
-    rows = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(500)], "id bigint, g string").where("g IS NOT NULL")
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None) for i in range(500)], "id bigint, g string")
     places = [r.place for r in hashed_rank(rows, ["g"], F.md5(F.col("id").cast("string")), "id", buckets=7).collect()]
-    assert sorted(places) == list(range(1, len(places) + 1))
+    assert sorted(places) == sorted([*range(1, 334), *range(1, 168)])
 
 
 def test_split(spark):

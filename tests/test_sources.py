@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import clamp, to_normalized
-from tidemark.functions.pixels import phash
+from tidemark.functions.pixels import with_phash
 from tidemark.operators import detections, mapping
 from tidemark.sources import config, images, labels, results
 from tidemark.streaming import frames
@@ -78,9 +78,9 @@ def test_image_sizes(spark):
 
 
 def test_phash(spark):
-    flat, slope = [5.0] * 1024, [float(i % 32) for i in range(1024)]
-    rows = spark.createDataFrame([(1, flat), (2, slope), (3, [v * 2 + 1 for v in slope]), (4, [1.0]), (5, None)], "id int, l array<double>")
-    got = {r.id: r.h for r in rows.select("id", phash(F.col("l")).alias("h")).collect()}
+    flat, noise = [5.0] * 1024, [float(i * 7919 % 251) for i in range(1024)]
+    rows = spark.createDataFrame([(1, flat), (2, noise), (3, [v * 2 for v in noise]), (4, [1.0]), (5, None)], "id int, l array<double>")
+    got = {r.id: r.h for r in with_phash(rows, "l", "h").collect()}
     assert got[1] is not None and got[2] == got[3] and got[4] is None and got[5] is None
 
 

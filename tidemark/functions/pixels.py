@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,7 @@ def above_median(values: Column) -> Column:
     return F.when(F.size(values) == 64, bits.pack(F.transform(values, lambda v: v.cast("double") > middle)))
 
 
-def phash(luminance: Column) -> Column:
-    """The 64-bit perceptual hash of a 32 x 32 picture of grey values."""
-    return above_median(coefficients(luminance))
+def with_phash(pictures: DataFrame, luminance: str, name: str = "hash") -> DataFrame:
+    """``pictures`` with the 64-bit perceptual hash of a column of 32 x 32 grey values, null for any other length."""
+    found = pictures.withColumn("_coefficients", coefficients(F.col(luminance)))
+    return found.withColumn(name, above_median(F.col("_coefficients"))).drop("_coefficients")

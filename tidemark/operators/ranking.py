@@ -18,9 +18,8 @@ def hashed_rank(rows: DataFrame, group: list[str], draw: Column, tie: str, name:
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select(*group, "_bucket", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_bucket").orderBy("_draw", tie)
-    return (
-        drawn.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*group, "_bucket"])
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_draw", "_bucket", "_inside", "_before")
-    )
+    named = offsets.select(*(F.col(c).alias(f"_of_{c}") for c in [*group, "_bucket"]), "_before")
+    ranked = drawn.withColumn("_inside", F.row_number().over(inside))
+    # Null-safe, as a group may have a null.
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_bucket"]]
+    return ranked.join(named, same).withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).select(*rows.columns, name)
