@@ -139,3 +139,16 @@ def test_empty(spark):
     assert neardup.greedy_dedup(rows).count() == 0
     assert hamming_join(spark.createDataFrame([], "hash bigint")).count() == 0
     assert neardup.single_linkage(spark.createDataFrame([], "item_id bigint, hash bigint, num_boxes int, military boolean, stem string")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [None, 3])
+def test_reject_near(spark, threshold):
+    """Without a threshold the guard turns away all that are up to five bits from a held-out hash."""
+    rng = random.Random(3)
+    holdout = near_values(rng, 20)
+    flip = lambda h, n: bits.signed((h & (2**64 - 1)) ^ sum(1 << p for p in rng.sample(range(64), n)))
+    hashes = [*(flip(h, n) for h in holdout for n in range(8)), None, 0]
+    candidates = spark.createDataFrame(list(enumerate(hashes)), "item_id bigint, hash bigint")
+    given = {} if threshold is None else {"threshold": threshold}
+    got = {r.item_id for r in neardup.reject_near(candidates, frame(spark, holdout), **given).collect()}
+    assert got == {i for i, h in enumerate(hashes) if not h or all(apart(h, x) > (threshold or 5) for x in holdout)}

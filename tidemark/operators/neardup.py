@@ -115,8 +115,11 @@ def audit_totals(drops: DataFrame) -> DataFrame:
     return sized.withColumn("one", F.lit(1)).join(totals.withColumn("one", F.lit(1)), "one").withColumn("military_percent", share).drop("one")
 
 
-def reject_near(candidates: DataFrame, holdout: DataFrame, threshold: int = 3) -> DataFrame:
-    """The rows of ``candidates`` whose hash is within the threshold of no hash of ``holdout``."""
+def reject_near(candidates: DataFrame, holdout: DataFrame, threshold: int = 5) -> DataFrame:
+    """The rows of ``candidates`` whose hash is within the threshold of no hash of ``holdout``.
+
+    The guard against leaks is wider than near-duplicate removal: five bits, all of them found.
+    """
     distinct = lambda t: t.select(bits.real(F.col("hash")).alias("hash")).where(F.col("hash").isNotNull()).distinct()
     near = hamming_join(distinct(candidates), distinct(holdout), threshold).select(F.col("hash_a").alias("hash")).distinct()
     return candidates.join(near, "hash", "left_anti").select(*candidates.columns)
