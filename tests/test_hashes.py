@@ -1,5 +1,6 @@
 """Hamming joins, components and near-duplicate removal against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -152,3 +153,18 @@ def test_reject_near(spark, threshold):
     given = {} if threshold is None else {"threshold": threshold}
     got = {r.item_id for r in neardup.reject_near(candidates, frame(spark, holdout), **given).collect()}
     assert got == {i for i, h in enumerate(hashes) if not h or all(apart(h, x) > (threshold or 5) for x in holdout)}
+
+
+@pytest.mark.parametrize("total", [0, 25, 1000])
+def test_audit_sample_spans_distances(spark, total):
+    """Of 1,000 drops with 50 not exact, an even sample by distance holds exactly two of these."""
+    far = {i: 1 + i % 3 for i in range(0, total, 20)}
+    rows = [(i, -i, far.get(i, 0), i % 97 == 1, None) for i in range(total)]
+    drops = spark.createDataFrame(rows, "item_id bigint, rep_id bigint, dist int, military boolean, rep_military boolean")
+    order = sorted(rows, key=lambda r: (r[2], hashlib.md5(str(r[0]).encode()).hexdigest(), r[0]))
+    even = {order[int(k * (total / 40))][0] for k in range(40)} if total else set()
+    top = {r[0] for r in sorted((r for r in rows if r[3]), key=lambda r: (-r[2], r[0]))[:5]}
+    got = neardup.audit_sample(drops).collect()
+    assert {r.item_id for r in got} == even | top and len(got) == len(even | top)
+    if total == 1000:
+        assert sum(r.dist > 0 for r in got if r.item_id in even) == 2

@@ -6,12 +6,13 @@ first item, and only distinct hashes are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits
 from tidemark.operators.graph import components
 from tidemark.operators.hamming import hamming_join
+from tidemark.operators.ranking import hashed_rank
 from tidemark.session import Scratch
 
 BANDS = 8
@@ -115,6 +116,25 @@ def audit_totals(drops: DataFrame) -> DataFrame:
     return sized.withColumn("one", F.lit(1)).join(totals.withColumn("one", F.lit(1)), "one").withColumn("military_percent", share).drop("one")
 
 
+def audit_sample(drops: DataFrame, size: int = 40, far: int = 5) -> DataFrame:
+    """``item_id, rep_id, dist`` of drops to look at: ``size`` at even steps through the drops in the order of their distance, and
+    the ``far`` farthest that involve a military item.
+
+    Drops of one distance are in the order of an md5 of their item. Few distances occur, so places are
+    counted within each and moved up by the drops of smaller ones. ``drops`` as for ``audit_totals``.
+    """
+    scratch = Scratch(drops.sparkSession, "audit")
+    rows = scratch.save(drops, "drops")
+    step = rows.agg((F.count("*") / float(size)).alias("step"))
+    picks = step.select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"), "step").select((F.floor(F.col("j") * F.col("step")) + 1).alias("at")).distinct()
+    nearer = Window.orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("dist").agg(F.count("*").alias("n")).select("dist", F.coalesce(F.sum("n").over(nearer), F.lit(0)).alias("before"))
+    placed = hashed_rank(rows, ["dist"], F.md5(F.col("item_id").cast("string")), "item_id").join(offsets, "dist").withColumn("at", F.col("before") + F.col("place"))
+    even = placed.join(picks, "at", "left_semi").select("item_id", "rep_id", "dist")
+    military = rows.where(F.coalesce(F.col("military"), F.lit(False)) | F.coalesce(F.col("rep_military"), F.lit(False)))
+    return scratch.finish(even.unionAll(military.orderBy(F.desc("dist"), "item_id").limit(far).select("item_id", "rep_id", "dist")).distinct())
+
+
 def reject_near(candidates: DataFrame, holdout: DataFrame, threshold: int = 5) -> DataFrame:
     """The rows of ``candidates`` whose hash is within the threshold of no hash of ``holdout``.
 

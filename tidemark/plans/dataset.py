@@ -241,6 +241,15 @@ def q19_audit_sample(spark: SparkSession, folder: str) -> DataFrame:
     return even.select("item_id", "rep_id", "dist").unionAll(far.select("item_id", "rep_id", "dist")).distinct()
 
 
+@query(f"""WITH RECURSIVE {_GREEDY}, r AS (SELECT *, row_number() OVER (ORDER BY dist, md5(item_id::VARCHAR), item_id) AS k, count(*) OVER () AS n FROM best),
+picks AS (SELECT DISTINCT floor(j * ((SELECT max(n) FROM r) / 40.0::DOUBLE))::BIGINT + 1 AS k FROM range(40) t(j)),
+top AS (SELECT item_id FROM best WHERE military OR rep_military ORDER BY dist DESC, item_id LIMIT 5)
+SELECT item_id, rep_id, dist FROM r WHERE k IN (SELECT k FROM picks) OR item_id IN (SELECT item_id FROM top)""")
+def q19b_audit_by_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``q19_audit_sample``, but evenly spaced in the order of distance, so that exact copies and far drops are both seen."""
+    return neardup.audit_sample(_drops(spark, folder))
+
+
 @query(rf"""WITH {BOXES}, n AS (SELECT *, class_id IS NULL OR cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL AS short FROM bx),
 v AS (SELECT item_id, box_idx, unnest(list_filter([CASE WHEN short THEN 'fields' END, CASE WHEN NOT short AND class_id NOT BETWEEN 0 AND 7 THEN 'class_range' END,
   CASE WHEN NOT short AND cx NOT BETWEEN 0 AND 1 THEN 'coord_range' END, CASE WHEN NOT short AND cy NOT BETWEEN 0 AND 1 THEN 'coord_range' END, CASE WHEN NOT short AND w NOT BETWEEN 0 AND 1 THEN 'coord_range' END,
