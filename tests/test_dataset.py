@@ -1,5 +1,6 @@
 """Splits, names, validation, scoring and the paste plan on small inputs."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -117,3 +118,74 @@ def test_domain_update(spark):
     current = spark.createDataFrame([("augcp_1", "x"), ("a", "aerial"), ("b", "surface")], "stem string, domain string")
     added = spark.createDataFrame([("b", "surface_synth"), ("c", "surface_synth")], "stem string, domain string")
     assert sorted(map(tuple, augment.update_domains(current, added).collect())) == [("a", "aerial"), ("b", "surface_synth"), ("c", "surface_synth")]
+
+
+def planned(found, backgrounds, existing, side, low, high, tries, most, copies, band, prefix):
+    """The plan one picture and one crop after the other."""
+    salt = f"42|{prefix}"
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, (salt, *parts))).encode()).hexdigest()
+    unit = lambda *parts: int(md5(*parts)[:8], 16) / 2**32
+    domains = sorted({d for _, d, *_ in found} & {d for _, d in backgrounds})
+    order = lambda rows, d: sorted((r for r in rows if r[1] == d), key=lambda r: (md5(r[0]), r[0]))
+    out = set()
+    for i in range(copies):
+        domain = domains[int(unit("domain", i) * len(domains))]
+        pictures, pool = order(backgrounds, domain), order(found, domain)
+        onto = pictures[int(unit("bg", i) * len(pictures))][0]
+        held = [e[1:] for e in existing if e[0] == onto]
+        for k in range(1, int(unit("n", i) * most) + 2):
+            crop = pool[int(unit("crop", i, k) * len(pool))]
+            cw, ch = int(crop[4]) - int(crop[2]), int(crop[5]) - int(crop[3])
+            share = low + unit("w", i, k) * (high - low)
+            nw, nh = max(2, int(share * side)), max(2, int(share * side * ch / cw))
+            if nw >= side or nh >= side:
+                continue
+            top, end = (int(band[0] * side), int(band[1] * side) - nh) if band else (0, side - nh)
+            if end <= top:
+                top, end = 0, side - nh
+            for t in range(tries):
+                x, y = int(unit("x", i, k, t) * (side - nw + 1)), top + int(unit("y", i, k, t) * (end - top + 1))
+                b = (float(x), float(y), float(x + nw), float(y + nh))
+                if all(overlap(b, e) < 0.3 for e in held):
+                    held.append(b)
+                    out.add((f"{prefix}{i:05d}", k, crop[0], onto, unit("flip", i, k) < 0.5, *b))
+                    break
+    return out
+
+
+def pasting(spark):
+    rng = random.Random(4)
+    found = [(k, "aerial" if k % 3 else "surface", x := rng.uniform(0, 50), y := rng.uniform(0, 50), x + rng.uniform(10, 40), y + rng.uniform(4, 200)) for k in range(30)]
+    backgrounds = [(k, "aerial" if k % 2 else "surface") for k in range(8)] + [(9, "thermal")]
+    # Crowded, so that few places are free.
+    existing = [(k, x := rng.uniform(0, 80), y := rng.uniform(0, 80), x + rng.uniform(5, 30), y + rng.uniform(5, 30)) for k in range(8) for _ in range(3 * k)]
+    corners = "x1 double, y1 double, x2 double, y2 double"
+    frames = (spark.createDataFrame(found, f"instance_id bigint, domain string, {corners}"), spark.createDataFrame(backgrounds, "image_id bigint, domain string"), spark.createDataFrame(existing, f"image_id bigint, {corners}"))
+    return (found, backgrounds, existing), frames
+
+
+def test_several_crops_in_a_picture(spark):
+    rows, frames = pasting(spark)
+    plan = augment.plan_pastes(*frames, 100.0, 100.0, high=0.6, copies=60).collect()
+    want = planned(*rows, 100, 0.08, 0.6, 20, 3, 60, None, "augcp_")
+    assert {tuple(r) for r in plan} == want and len(plan) == len(want)
+    assert {r.crop_no for r in plan} == {1, 2, 3}
+    pairs = [(a, b) for a in plan for b in plan if a.stem == b.stem and a.crop_no < b.crop_no]
+    assert pairs and all(overlap(tuple(a)[5:], tuple(b)[5:]) < 0.3 for a, b in pairs)
+
+
+def test_cross_domain_plan(spark):
+    (found, backgrounds, existing), frames = pasting(spark)
+    plan = augment.plan_cross_domain(*frames, 100.0, 100.0, copies=60)
+    moved = [(k, "surface", *corners) for k, d, *corners in found if d == "aerial"]
+    want = planned(moved, [b for b in backgrounds if b[1] == "surface"], existing, 100, 0.04, 0.16, 25, 2, 60, (0.35, 0.80), "augxd_")
+    got = plan.collect()
+    assert {tuple(r)[:-1] for r in got} == want and len(got) == len(want) and {r.domain for r in got} == {"surface_synth"}
+    assert {r.crop_no for r in got} == {1, 2} and all(r.instance_id % 3 and r.background_id % 2 == 0 for r in got)
+
+
+def test_without_leaks(spark):
+    plan = spark.createDataFrame([("augxd_00000", 1), ("augxd_00000", 2), ("augxd_00001", 1), ("augxd_00002", 1)], "stem string, crop_no int")
+    composed = spark.createDataFrame([("augxd_00000", 0b111111 << 20 | 1), ("augxd_00001", 0b11111 << 20 | 1)], "stem string, hash bigint")
+    kept = augment.without_leaks(plan, composed, spark.createDataFrame([(1,)], "hash bigint")).collect()
+    assert sorted(map(tuple, kept)) == [("augxd_00000", 1), ("augxd_00000", 2)]

@@ -348,13 +348,24 @@ def q28c_clusters(spark: SparkSession, folder: str) -> DataFrame:
 _PIC = 1000.0
 
 
-@query(None)
-def q33_paste_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """Compared with brute force in the tests."""
+def _pasting(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Military instances, backgrounds and boxes of the train pictures."""
     places = views.items(spark, folder).where(F.col("split") == "train").select(F.col("item_id").alias("image_id"), "domain")
     boxes = views.truth(spark, folder).join(places, "image_id")
     found = augment.instances(boxes, views.MILITARY).withColumn("instance_id", F.col("image_id") * 1000 + F.col("box_idx"))
-    return augment.plan_pastes(found.select("instance_id", "domain", "x1", "y1", "x2", "y2"), places, boxes.select("image_id", "x1", "y1", "x2", "y2"), _PIC, _PIC)
+    return found.select("instance_id", "domain", "x1", "y1", "x2", "y2"), places, boxes.select("image_id", "x1", "y1", "x2", "y2")
+
+
+@query(None)
+def q33_paste_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Compared with brute force in the tests."""
+    return augment.plan_pastes(*_pasting(spark, folder), _PIC, _PIC)
+
+
+@query(None)
+def q33b_cross_domain_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Compared with brute force in the tests. Pictures are not composed here, so none is rejected by its hash."""
+    return augment.plan_cross_domain(*_pasting(spark, folder), _PIC, _PIC)
 
 
 @query(f"""WITH {ITEMS}, cur AS (SELECT CASE WHEN military THEN 'augcp_' || item_id ELSE stem END AS stem, min(domain) AS domain FROM im WHERE stem IS NOT NULL GROUP BY 1),
