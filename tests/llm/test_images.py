@@ -194,6 +194,14 @@ def test_survivors(spark, dims):
     assert all(r.p_true is None or 0 <= r.p_true <= 1 for r in fused) and all(r.kept for r in fused)
 
 
+def test_classes_of_members_without_dataset(spark, dims):
+    """What only a member without a dataset states is judged like any other value."""
+    blank = {c.split()[0]: None for c in ITEM.split(", ")}
+    rows = [blank | {"item_id": 1, "dataset": DOMAINS[0][0], "classes": [1], "hash": 5}, blank | {"item_id": 2, "classes": [2], "hash": 5}]
+    fused = survivors.fuse(frame(spark, rows, ITEM), *dims).where(F.col("field") == "classes").collect()
+    assert [(r.item_id, r.kept) for r in fused] == [(1, ["1", "2"])] and fused[0].p_true is not None
+
+
 def test_quality_model_finds_the_bad_source(spark):
     """Two good sources agree, a third states a false value of its own each time."""
     scratch = Scratch(spark, "test")

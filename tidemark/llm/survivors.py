@@ -57,7 +57,8 @@ def _members(items: DataFrame, classes: DataFrame, domains: DataFrame) -> DataFr
 def _patterns(scratch: Scratch, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts ``hash, field, value, pattern`` and the patterns with their counts."""
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("held")) for f in FIELDS))
-    told = members.where(F.col("source").isNotNull()).select("hash", "source", F.explode(each).alias("x")).select("hash", "source", "x.field", F.explode("x.held").alias("value"))
+    # Members without a dataset are one more source.
+    told = members.select("hash", F.coalesce("source", F.lit("")).alias("source"), F.explode(each).alias("x")).select("hash", "source", "x.field", F.explode("x.held").alias("value"))
     stated = told.groupBy("hash", "field", "value").agg(F.collect_set("source").alias("stated"))
     covering = told.groupBy("hash", "field").agg(F.collect_set("source").alias("covering"))
     pattern = F.struct(F.sort_array("stated").alias("stated"), F.sort_array(F.array_except("covering", "stated")).alias("silent"))
@@ -106,8 +107,8 @@ def fuse(items: DataFrame, classes: DataFrame, domains: DataFrame) -> DataFrame:
 
     ``item_id`` is the member whose value survives: lowest trust rank (datasets without one come
     last), then latest ``loaded_at`` (null last), then smallest id. ``p_true`` is the model's
-    probability of that value (for classes, of the least probable one), null if the member has no
-    dataset; ``kept`` are the values of the field to keep: for classes all with a probability of one
+    probability of that value (for classes, of the least probable one); members without a dataset
+    are judged as one source. ``kept`` are the values of the field to keep: for classes all with a probability of one
     half or more over all members, or the survivor's where none reaches it; else the survivor's value.
     Null and 0 hashes, and hashes of a single item, have no rows.
     """
