@@ -1,11 +1,13 @@
 """Documents: tokens and their places, mixes, and prose against everything else."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, tokens
+from tidemark.llm import mixing, quality, shapes, tokens
 
 TEXTS = [None, "", " ", "plain words", "naïve 漢字 👩‍👩‍👧 ­ x", "<|endoftext|> is text", "a" * 3000, "don't  stop\n\n\tnow", "x\u0000y", "é" * 50]
 
@@ -115,3 +117,45 @@ def test_quality(spark):
     adds = sum(rows[205][f"{s}_adds"] for s in quality.STATISTICS)
     assert abs(adds - rows[205].distance ** 2) < 1e-6 * adds
     assert quality.document_quality(docs.limit(0), common).count() == 0
+
+
+def test_distance_decides(spark, monkeypatch):
+    """Without the distance nothing is told from prose; without prose to compare with nothing is judged."""
+    texts, want = corpus()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    common = [("en", w) for w in "the a and of it in to was for with on when".split()]
+    key = tuple(sorted(common))
+    pairs = spark.createDataFrame(common, "lang string, word string")
+    units = quality.measured(docs, pairs)
+    prose = quality.fit(units)
+    m = quality.measure([texts[205]], key)
+    parts, z = prose.contributions("en", m["run_stats"], quality._shrink(m["run_words"], m["run_trigrams"]))
+    assert parts.sum() > quality.OUTLIER and quality._kinds(parts, z).tolist() == [0]
+    monkeypatch.setattr(quality, "OUTLIER", np.inf)
+    assert quality._kinds(parts, z).tolist() == [3]
+    nothing = quality.document_quality(docs.where("doc_id < 9"), pairs.where("word = 'x'")).collect()
+    assert len(nothing) == 9 and all(r.kind is None and r.distance is None and r.lang_guess == "und" and r.chars > 0 for r in nothing)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts(seed):
+    """The counts over arrays are those of a loop over lines and tokens."""
+    rng = random.Random(seed)
+    bits = ["Boat", "the", " ", "  ", "\t", "\n", "\r\n", "12", "x7", ",", ". ", "é", "漢", "👩", "\u00ad", "|", "®", "-", "a=1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(30)] + ["", "\n \n"]
+    known = np.array(sorted(shapes.word_digest(w) for w in ("the", "boat")), np.uint64)
+    of, counts, hits = shapes.count_runs(texts, (known, np.ones((2, 1))))
+    total = lambda c: np.bincount(of, weights=counts[:, shapes.COUNTS.index(c)], minlength=len(texts)).astype(int).tolist()
+    plain = [t.replace("\u00ad", "") for t in texts]
+    words = [re.findall(r"[^\W\d_]+", t.lower()) for t in plain]
+    assert total("words") == [len(w) for w in words] and total("letters") == [sum(map(len, w)) for w in words]
+    assert total("tokens") == [len(t.split()) for t in plain] and total("chars") == [sum(map(len, t.split())) for t in plain]
+    assert total("digits") == [sum(map(str.isdigit, t)) for t in plain] and total("lines") == [sum(bool(x.strip()) for x in t.splitlines()) for t in plain]
+    assert np.bincount(of, weights=hits[:, 0], minlength=len(texts)).astype(int).tolist() == [sum(x in ("the", "boat") for x in w) for w in words]
+    assert total("numbers") == [sum(any(map(str.isdigit, x)) and not any(map(str.isalpha, x)) for x in t.split()) for t in plain]
+
+
+def test_long_text():
+    """A very long text is measured whole."""
+    m = quality.measure([PROSE * 20000, PROSE], (("en", "the"),))
+    assert m["words"].tolist() == [20 * 20000, 20] and m["of"].max() == 1
