@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import groups, history, overlap, proportions, related_splits, survivors
-from tidemark.llm.images import records
 from tidemark.session import Scratch
 
 ITEM = "item_id bigint, dataset string, domain string, stem string, classes array<int>, num_boxes int, hash bigint, split string, scene_key string, collected_by string, licence string, captured_at timestamp_ntz, loaded_at timestamp_ntz"
@@ -156,19 +155,60 @@ def test_history(spark, seed):
     assert {r.new_id for r in got if r.accepted} == want and len(got) == len(rows)
 
 
-def test_history_by_batch(spark):
-    items = made(30, 5)
-    rows = [r | {"batch_no": r["batch_no"] or 0} for r in news(40, 6, items)]
+def test_history_reads_the_cells_it_probes(spark):
+    """A batch of one row reads a bounded part of an index, however large that is."""
     scratch = Scratch(spark, "test")
-    index = history.SegmentIndex(spark, f"{scratch.root}/index")
-    index.append(records(frame(spark, items, ITEM), "item_id"))
-    accepted = set()
-    for batch in range(4):
-        part = scratch.save(history.screen(scratch, frame(spark, [r for r in rows if r["batch_no"] == batch], NEW, extra=False), index))
-        index.append(part.where("accepted"))
-        accepted |= {r.id for r in part.where("accepted").collect()}
-    whole = history.screened(frame(spark, items, ITEM), frame(spark, rows, NEW))
-    assert accepted == {r.new_id for r in whole.where("accepted").collect()}
+    read = []
+    for n in (400, 4000):
+        index = history.SegmentIndex(spark, f"{scratch.root}/index{n}", cell_rows=64)
+        rng = random.Random(n)
+        old = spark.createDataFrame([(f"s{k}", rng.getrandbits(63)) for k in range(n)], "stem_key string, real_hash bigint")
+        index.append(old)
+        one = scratch.save(history.segments(spark.createDataFrame([(7,)], "hash bigint")))
+        named = index.hashes.named(one)
+        plan = named._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: .*cell#\d+ IN", plan)
+        read.append(named.count())
+        assert index.hashes.rows().count() == 10 * n
+    assert read[0] > 0 and max(read) < 10 * 4 * 64
+    index.append(spark.createDataFrame([("x", 5)], "stem_key string, real_hash bigint"))
+    assert index.near_hashes(scratch, one).count() == 1
+    index.hashes.compact()
+    assert len(index.hashes.generations) == 1 and index.near_hashes(scratch, one).count() == 1 and index.hashes.rows().count() == 10 * 4001
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_stem_segments(spark, edits):
+    """Probes at shifted places find every stem within the edits, insertions and deletions included."""
+    rng = random.Random(edits)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(60)]
+    stems = spark.createDataFrame([(w,) for w in sorted(set(words))], "stem_key string")
+    got = history.near_stems(history.stem_probes(stems, edits), history.stem_segments(stems, edits), edits).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in set(words) for b in set(words) if edit_distance(a, b) <= edits)
+
+
+def test_history_with_edits(spark):
+    """Stems within two edits show one image."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
+    old, new = [name() for _ in range(6)], [(k, k // 12, name()) for k in range(36)]
+    kept, want = list(old), set()
+    for k, _, s in new:
+        if all(edit_distance(s, x) > 1 for x in kept):
+            kept.append(s)
+            want.add(k)
+    items = spark.createDataFrame([(k, s, None) for k, s in enumerate(old)], "item_id bigint, stem string, hash bigint")
+    batches = spark.createDataFrame([(k, b, s, None) for k, b, s in new], "new_id bigint, batch_no int, stem string, hash bigint")
+    assert {r.new_id for r in history.screened(items, batches, edits=1).where("accepted").collect()} == want
 
 
 def test_survivors(spark, dims):
