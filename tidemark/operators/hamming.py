@@ -27,10 +27,10 @@ def choices_of(threshold: int = 3, agree: int = 2) -> list[int]:
     return bits.masks(list(range(64)), threshold + agree, agree)
 
 
-def segments(hashes: DataFrame, threshold: int = 3, agree: int = 2) -> DataFrame:
-    """``hash, choice, bucket``: the index rows of hashes, which can be stored and added to."""
+def segments(hashes: DataFrame, threshold: int = 3, agree: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``hash, choice, bucket`` and the columns ``keep``: the index rows of hashes, which can be stored and added to."""
     keys = F.array(*(F.col("hash").bitwiseAND(F.lit(bits.signed(m))) for m in choices_of(threshold, agree)))
-    return hashes.select("hash", F.posexplode(keys).alias("choice", "bucket"))
+    return hashes.select("hash", *keep, F.posexplode(keys).alias("choice", "bucket"))
 
 
 def _rekeyed(hot: DataFrame, finer: list[list[int]]) -> DataFrame:
@@ -64,18 +64,29 @@ def hamming_join(
     return match_segments(a, None if right is None else segments(right, threshold, agree), threshold, agree, hot)
 
 
+def hot_buckets(a: DataFrame, b: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """``choice, bucket`` of the buckets with more than ``hot`` rows of both sides together."""
+    bucket = ["choice", "bucket"]
+    sizes = a if b is None else a.select(*bucket).unionAll(b.select(*bucket))
+    return sizes.groupBy(*bucket).count().where(F.col("count") > hot).select(*bucket)
+
+
 def match_segments(
-    a: DataFrame, b: DataFrame | None = None, threshold: int = 3, agree: int = 2, hot: int = HOT
+    a: DataFrame, b: DataFrame | None = None, threshold: int = 3, agree: int = 2, hot: int = HOT, over: DataFrame | bool | None = None
 ) -> DataFrame:
-    """``hamming_join`` over rows that ``segments`` made, with the same ``threshold`` and ``agree``."""
+    """``hamming_join`` over rows that ``segments`` made, with the same ``threshold`` and ``agree``.
+
+    ``over`` are the hot buckets if they are known, or False if there are none; otherwise they are counted.
+    """
     self_join = b is None
     b = a if self_join else b
     choices = choices_of(threshold, agree)
     bucket = ["choice", "bucket"]
-    sizes = a if self_join else a.select(*bucket).unionAll(b.select(*bucket))
-    over = sizes.groupBy(*bucket).count().where(F.col("count") > hot).select(*bucket)
     plain = lambda xor: bits.first_mask(xor, choices) == F.col("choice")
-    if over.isEmpty():
+    if over is None:
+        over = hot_buckets(a, None if self_join else b, hot)
+        over = False if over.isEmpty() else over
+    if over is False:
         return _matches(a, b, bucket, threshold, plain, self_join)
 
     cool = _matches(a.join(over, bucket, "left_anti"), b, bucket, threshold, plain, self_join)

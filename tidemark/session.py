@@ -61,10 +61,11 @@ class Scratch:
         self.written = 0
         self.tables: list[tuple[DataFrame, str]] = []
 
-    def save(self, df: DataFrame, tag: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, tag: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+        """Write and read back; ``by`` names columns to partition the table by."""
         self.written += 1
         path = f"{self.root}/{self.written:04d}-{tag}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((table, path))
         return table
