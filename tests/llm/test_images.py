@@ -142,8 +142,8 @@ def news(n, seed, items):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_history(spark, seed):
+@pytest.mark.parametrize("seed, run_rows", [(1, 1), (2, 50)])
+def test_history(spark, seed, run_rows):
     items = made(40, seed)
     rows = news(80, seed + 10, items)
     kept, want = list(items), set()
@@ -151,7 +151,7 @@ def test_history(spark, seed):
         if not any(same(r, x) for x in kept):
             kept.append(r)
             want.add(r["new_id"])
-    got = history.screened(frame(spark, items, ITEM), frame(spark, rows, NEW)).collect()
+    got = history.screened(frame(spark, items, ITEM), frame(spark, rows, NEW), run_rows=run_rows).collect()
     assert {r.new_id for r in got if r.accepted} == want and len(got) == len(rows)
 
 
@@ -206,7 +206,7 @@ def test_history_with_edits(spark):
             want.add(k)
     items = spark.createDataFrame([(k, s, None) for k, s in enumerate(old)], "item_id bigint, stem string, hash bigint")
     batches = spark.createDataFrame([(k, b, s, None) for k, b, s in new], "new_id bigint, batch_no int, stem string, hash bigint")
-    assert {r.new_id for r in history.screened(items, batches, edits=1).where("accepted").collect()} == want
+    assert {r.new_id for r in history.screened(items, batches, edits=1, run_rows=1).where("accepted").collect()} == want
 
 
 def test_survivors(spark, dims):
