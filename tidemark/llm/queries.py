@@ -33,7 +33,7 @@ def queries() -> dict[str, Query]:
         "p2_report": _over(*SAMPLE)(proportions.shortfalls),
         "p3_found": _over("items", "new_items")(lambda *t: history.screened(*t).where(~F.col("accepted")).select("new_id")),
         "p3_accepted": _over("items", "new_items")(lambda *t: history.screened(*t).where("accepted").select("new_id")),
-        "p4_found": _over("items", "class_names", "dataset_domains")(lambda *t: survivors.fuse(*t).select("hash", "field", "item_id")),
+        "p4_found": _over("items", "class_names", "dataset_domains")(survivors.trusted),
         "p4_records": _over("items", "class_names", "dataset_domains")(survivors.fuse),
         "p6_found": _over("match_pairs")(groups.consolidate),
         "p6_all_items": _over("items", "match_pairs")(groups.all_items),
