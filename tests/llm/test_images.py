@@ -339,10 +339,38 @@ def test_chunks():
     assert len(set(parts) & set(moved)) > 0.95 * len(set(parts))
 
 
+@pytest.mark.parametrize("least", [1.0, 0.7, 0.4])
+def test_chunk_overlaps(spark, least):
+    """Shared chunk lengths of all pairs, counted one by one; no pair is lost to the rarest chunks."""
+    rng = random.Random(5)
+    words = ["harbour-cam-07_", "frame_000", "night", "2024-05-11T", "x", "river-mouth/", "0001", "0002"]
+    texts = sorted({"".join(rng.choice(words) for _ in range(rng.randrange(7))) for _ in range(70)} | {""})
+    def side(own):
+        return overlap.chunks(spark.createDataFrame([(t,) for t in own], "t string"), "t")
+    held, known = texts[::2] + texts[:5], texts[1::2] + texts[:5]
+    counted = {t: Counter(overlap.cut(t.encode())) for t in texts}
+    want = {}
+    for a in set(held):
+        for b in set(known):
+            shared = sum(min(n, counted[b][c]) * len(c) for c, n in counted[a].items()) / max(len(a), len(b), 1)
+            if shared >= least:
+                want[a, b] = round(shared, 9)
+    got = overlap.overlaps(side(sorted(set(held))), side(sorted(set(known))), "t", least).collect()
+    assert {(r.held, r.known): round(r.overlap, 9) for r in got} == want and len(got) == len(want)
+
+
+def test_same_stem_comes_from_chunks(spark, monkeypatch):
+    """Where no chunk is joined, no equal stem is found."""
+    rows = [dict.fromkeys((c.split()[0] for c in ITEM.split(", "))) | {"item_id": k, "stem": "a-ship", "split": s} for k, s in enumerate(("train", "val"))]
+    assert overlap.overlapping_pairs(frame(spark, rows, ITEM)).count() == 1
+    monkeypatch.setattr(overlap, "overlaps", lambda held, known, column: held.limit(0).selectExpr("stem_key AS held", "stem_key AS known"))
+    assert overlap.overlapping_pairs(frame(spark, rows, ITEM)).count() == 0
+
+
 def test_empty(spark, dims):
     items, new = frame(spark, [], ITEM), frame(spark, [], NEW)
     targets = spark.createDataFrame([], "request_id int, split string, category string, target_share double, min_rows int, sample_size int")
     pairs = spark.createDataFrame([], "pair_id bigint, item_a bigint, item_b bigint, verdict string, matched_at timestamp_ntz")
-    for result in (related_splits.divided_groups(items), related_splits.assign_splits(items), proportions.draw(items, *dims, targets), history.screened(items, new), survivors.fuse(items, *dims), groups.consolidate(pairs), overlap.overlapping_pairs(items), overlap.overlap_report(items)):
+    for result in (related_splits.divided_groups(items), related_splits.assign_splits(items), proportions.draw(items, *dims, targets), history.screened(items, new), survivors.fuse(items, *dims), groups.consolidate(pairs), overlap.overlapping_pairs(items), overlap.overlap_report(items), overlap.covered_report(items), survivors.trusted(items, *dims)):
         assert result.count() == 0
     assert history.screened(items, frame(spark, news(12, 1, made(12, 1)), NEW)).where(F.col("accepted")).count() > 0

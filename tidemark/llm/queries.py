@@ -39,6 +39,7 @@ def queries() -> dict[str, Query]:
         "p6_all_items": _over("items", "match_pairs")(groups.all_items),
         "p7_found": _over("items")(overlap.overlapping_pairs),
         "p7_report": _over("items")(overlap.overlap_report),
+        "p7_covered": _over("items")(overlap.covered_report),
         "p8_ids": _over("documents")(tokens.encode_corpus),
         "p8_offsets": _over("documents")(tokens.encode_with_offsets),
         "p8_round_trip": _over("documents")(tokens.round_trip),

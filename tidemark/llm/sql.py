@@ -105,6 +105,14 @@ p AS (SELECT a.item_id AS t, b.item_id AS e FROM i a JOIN i b ON a.s = b.s WHERE
  UNION SELECT a.item_id, b.item_id FROM i a JOIN i b ON bit_count(xor(a.h, b.h)) <= 3 WHERE a.split = 'train' AND b.split IN ('val', 'test'))
 SELECT least(t, e) AS item_id_a, greatest(t, e) AS item_id_b FROM p"""
 
+P7_REPORT = f"""
+WITH i AS MATERIALIZED (SELECT DISTINCT item_id, lower(trim(split)) AS split, lower(trim(dataset)) AS dataset, {STEM} AS s, nullif(hash, 0) AS h FROM items),
+d AS (SELECT e.h, min(bit_count(xor(t.h, e.h))) AS dist FROM (SELECT DISTINCT h FROM i WHERE split IN ('val', 'test')) e
+  JOIN (SELECT DISTINCT h FROM i WHERE split = 'train') t ON bit_count(xor(t.h, e.h)) <= 3 GROUP BY e.h),
+m AS (SELECT i.*, coalesce(s IN (SELECT s FROM i WHERE split = 'train' AND s IS NOT NULL), false) AS stem, dist FROM i LEFT JOIN d ON d.h = i.h WHERE split IN ('val', 'test'))
+SELECT split, dataset, count(*) AS items, count(*) FILTER (stem OR dist IS NOT NULL) AS overlapping, count(*) FILTER (stem) AS same_stem,
+  count(*) FILTER (dist = 0) AS same_hash, count(*) FILTER (dist > 0) AS near_hash FROM m GROUP BY split, dataset"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -117,4 +125,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": P6,
         "p6_all_items": P6_ALL,
         "p7_found": P7,
+        "p7_report": P7_REPORT,
     }
