@@ -51,11 +51,11 @@ def cuts(data: np.ndarray, starts: np.ndarray, window: int = WINDOW, mask: int =
 def cut(data: bytes, window: int = WINDOW, mask: int = MASK) -> list[bytes]:
     """The content-defined chunks of a record, in order; joined they are the record."""
     at = cuts(np.frombuffer(data, np.uint8), np.zeros(min(1, len(data)), np.int64), window, mask).tolist()
-    return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+    return [data[a:b] for a, b in zip(at, [*at, len(data)][1:], strict=True)]
 
 
 def chunks(table: DataFrame, column: str) -> DataFrame:
-    """The columns of ``table`` and ``digest, length`` of each chunk of the distinct texts in ``column``; the n-th of equal chunks has a digest of its own."""
+    """The columns of ``table`` and ``digest, length, size`` (of chunk and text) of each chunk of the distinct texts in ``column``; the n-th of equal chunks has a digest of its own."""
     names = table.columns
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,10 +75,10 @@ def chunks(table: DataFrame, column: str) -> DataFrame:
             nth = np.arange(len(order)) - np.repeat(run, np.diff(np.concatenate([run, [len(order)]])))
             found[order] += nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             rows = batch.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found.view(np.int64)), pa.array((ends - at).astype(np.int32))], [*names, "digest", "length"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found.view(np.int64)), pa.array((ends - at).astype(np.int32)), pa.array(sizes[of].astype(np.int32))], [*names, "digest", "length", "size"])
 
     shape = ", ".join(f"`{c}` {t}" for c, t in table.dtypes)
-    return table.mapInArrow(cut_all, f"{shape}, digest bigint, length int")
+    return table.mapInArrow(cut_all, f"{shape}, digest bigint, length int, size int")
 
 
 def covered(evaluation: DataFrame, training: DataFrame, column: str) -> DataFrame:
@@ -96,14 +96,10 @@ def overlaps(evaluation: DataFrame, training: DataFrame, column: str, least: flo
 
     def rare(side: DataFrame, name: str) -> DataFrame:
         # Chunks of one side only are the rarest: they take from the length that can be shared, and join nothing.
-        whole = side.groupBy(column).agg(F.sum("length").alias("size"))
-        met = side.join(seen, "digest").select(column, "digest", "length", "seen")
-        shared = met.groupBy(column).agg(F.sum("length").alias("meeting"))
-        sized = met.join(whole.join(shared, column).where(F.col("meeting") >= F.lit(least) * F.col("size")), column)
-        before = F.coalesce(F.sum("length").over(Window.partitionBy(column).orderBy("seen", "digest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        # What is left from here on, and the whole that the other may not exceed by more than the overlap allows.
-        kept = sized.withColumn("left", F.col("meeting") - before).where(F.col("left") >= F.lit(least) * F.col("size"))
-        return kept.select(F.col(column).alias(name), "digest", F.col("size").alias(f"{name}_size"))
+        met, own = side.join(seen, "digest"), Window.partitionBy(column)
+        before = F.sum("length").over(own.orderBy("seen", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
+        left = F.sum("length").over(own) - before
+        return met.withColumn("left", left).where(F.col("left") >= F.lit(least) * F.col("size")).select(F.col(column).alias(name), "digest", F.col("size").alias(f"{name}_size"))
 
     pairs = rare(evaluation, "held").join(rare(training, "known"), "digest").where(F.least("held_size", "known_size") >= F.lit(least) * F.greatest("held_size", "known_size"))
     pairs = pairs.select("held", "known", F.greatest("held_size", "known_size").alias("longer")).distinct()
