@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from tidemark.functions import bits
 from tidemark.operators import neardup
+from tidemark.operators import graph
 from tidemark.operators.graph import components, with_smallest
 from tidemark.operators.hamming import hamming_join
 from tidemark.session import Scratch
@@ -94,10 +95,41 @@ def test_components(spark, name, edges):
         if a is not None and b is not None and a != b:
             sets.union(a, b)
     scratch = Scratch(spark, "test")
-    found = with_smallest(components(scratch, spark.createDataFrame(edges, "src bigint, dst bigint"))).collect()
+    found = with_smallest(scratch, components(scratch, spark.createDataFrame(edges, "src bigint, dst bigint"))).collect()
     assert {(r.node, r.group_id) for r in found} == {(x, sets.find(x)) for x in list(sets)} and len(found) == len(sets)
 
 
+def test_hubs_are_spread(spark, monkeypatch):
+    """A vertex with a third of all edges: its rows lie in several parts, and nothing is lost, with adaptive plans on."""
+    monkeypatch.setattr(graph, "HUB", 50)
+    monkeypatch.setattr(graph, "BUCKET_ROWS", 200)
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 301)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(k, k + 1) for k in range(2000, 2300)]
+    sets = Sets()
+    for a, b in edges:
+        if a != b:
+            sets.union(a, b)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scratch = Scratch(spark, "test")
+        table = spark.createDataFrame(edges, "src bigint, dst bigint")
+        found = with_smallest(scratch, components(scratch, table)).collect()
+        assert {(r.node, r.group_id) for r in found} == {(x, sets.find(x)) for x in list(sets)} and len(found) == len(sets)
+        flat = scratch.save(graph.undirected(table))
+        ends = flat.selectExpr("explode(array(src, dst)) AS node").groupBy("node").count().withColumnRenamed("count", "n")
+        near = graph.Adjacency(scratch, flat, graph.hubs_of(scratch, ends))
+        rows = near.table.groupBy("src", "part").count().collect()
+        assert sum(r.src == 0 for r in rows) == 6 and max(r["count"] for r in rows) < 100
+        got = near.reached(spark.createDataFrame([(0, "x")], "node bigint, label string"))
+        assert {r.node for r in got.collect()} == set(range(1, 301))
+        front = spark.range(3000).withColumnRenamed("id", "node")
+        assert near.reached(front)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def greedy(rows, t):
     kept, out = [], {}
     for turn, item, h in sorted(rows):

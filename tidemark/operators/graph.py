@@ -2,8 +2,8 @@
 
 Each level a rule gives every vertex of the remaining edges a cluster; the edges are
 rewritten to clusters and those inside one vanish. The levels' assignments are
-composed at the end. Only flat tables are shuffled: an adjacency list is never
-one value, so a vertex with a third of all edges is many rows of a join.
+composed at the end. An adjacency list is never one value: a vertex with a third of all
+edges is many rows, and rows of a vertex with more than ``HUB`` are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import Scratch
 
-Rule = Callable[[Scratch, DataFrame, int], DataFrame]
+Rule = Callable[[Scratch, DataFrame, int, "DataFrame | None"], DataFrame]
+# Rows of one key, and of one bucket of written edges, that one task may well hold.
+HUB, BUCKET_ROWS = 200_000, 1_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -33,18 +35,66 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def hook_to_smallest(scratch: Scratch, edges: DataFrame, level: int) -> DataFrame:
+def salted_join(rows: DataFrame, named: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``named``, which has each ``key`` once; rows of a key in ``hubs`` (``node, parts``) are spread over its parts.
+
+    ``hubs`` is broadcast: it has at most one row for each ``HUB`` rows that were counted.
+    """
+    if hubs is None:
+        return rows.join(named, key, how)
+    parts = F.broadcast(hubs.select(F.col("node").alias(key), F.col("parts").alias("_parts")))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = rows.join(parts, key, "left").withColumn("_part", spread).drop("_parts")
+    right = named.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def hubs_of(scratch: Scratch, counted: DataFrame) -> DataFrame | None:
+    """``node, parts`` of the nodes with more than ``HUB`` rows, from ``node, n``; None if there are none."""
+    hubs = scratch.save(counted.where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("parts")), "hubs")
+    return None if hubs.isEmpty() else hubs
+
+
+class Adjacency:
+    """The edges of a graph in both directions, written in buckets by the hash of their source.
+
+    Neighbours of a hub lie in as many buckets as its parts. A front is sent to the buckets, or to all
+    readers where it is small; the edges themselves are never shuffled again.
+    """
+
+    def __init__(self, scratch: Scratch, edges: DataFrame, hubs: DataFrame | None = None) -> None:
+        both, self.hubs = both_ways(edges), hubs
+        part = F.lit(0)
+        if hubs is not None:
+            both = both.join(F.broadcast(hubs.withColumnRenamed("node", "src")), "src", "left")
+            part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+        buckets = max(1, 2 * edges.count() // BUCKET_ROWS)
+        self.table = scratch.bucketed(both.select("src", "dst", part.alias("part")), ("src", "part"), buckets, "adjacency")
+
+    def reached(self, front: DataFrame) -> DataFrame:
+        """``node`` and the other columns of ``front`` (``node`` and others) at every neighbour."""
+        others = [c for c in front.columns if c != "node"]
+        if self.hubs is None:
+            sent = front.withColumn("part", F.lit(0))
+        else:
+            sent = front.join(F.broadcast(self.hubs), "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        met = sent.withColumnRenamed("node", "src").join(self.table, ["src", "part"])
+        return met.select(F.col("dst").alias("node"), *others)
+
+
+def hook_to_smallest(scratch: Scratch, edges: DataFrame, level: int, hubs: DataFrame | None = None) -> DataFrame:
     """The rule for general use: a vertex joins the smallest hash among itself and its neighbours."""
-    drawn = lambda c: F.struct(F.xxhash64(c, F.lit(level)).alias("draw"), F.col(c).alias("node"))
-    best = both_ways(edges).groupBy("src").agg(F.min(drawn("dst")).alias("near"), F.min(drawn("src")).alias("own"))
-    return best.select(F.col("src").alias("node"), F.least("near", "own")["node"].alias("label"))
+    draw = lambda c: F.xxhash64(c, F.lit(level))
+    near = both_ways(edges).select("src", F.explode(F.array("src", "dst")).alias("near"))
+    best = near.groupBy("src").agg(F.min_by("near", draw("near")).alias("label"))
+    return best.select(F.col("src").alias("node"), "label")
 
 
-def contract(edges: DataFrame, assigned: DataFrame) -> DataFrame:
+def contract(edges: DataFrame, assigned: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """Edges between the clusters of ``assigned`` (node, label)."""
     src = assigned.select(F.col("node").alias("src"), F.col("label").alias("src_label"))
     dst = assigned.select(F.col("node").alias("dst"), F.col("label").alias("dst_label"))
-    moved = edges.join(src, "src").join(dst, "dst")
+    moved = salted_join(salted_join(edges, src, "src", hubs), dst, "dst", hubs)
     return undirected(moved.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")))
 
 
@@ -58,10 +108,12 @@ def components(scratch: Scratch, edges: DataFrame, rule: Rule = hook_to_smallest
     left = scratch.save(undirected(edges), "edges")
     while not left.isEmpty():
         before = scratch.held()
-        assigned = scratch.save(rule(scratch, left, level), f"level{level}")
+        ends = left.select(F.explode(F.array("src", "dst")).alias("node"))
+        hubs = hubs_of(scratch, ends.groupBy("node").agg(F.count("*").alias("n")))
+        assigned = scratch.save(rule(scratch, left, level, hubs), f"level{level}")
         levels.append(assigned)
-        scratch.keep(*before, assigned)
-        smaller = scratch.save(contract(left, assigned), "edges")
+        smaller = scratch.save(contract(left, assigned, hubs), "edges")
+        scratch.keep(*before, assigned, smaller)
         scratch.drop(left)
         left, level = smaller, level + 1
     if not levels:
@@ -73,7 +125,8 @@ def components(scratch: Scratch, edges: DataFrame, rule: Rule = hook_to_smallest
     return whole.select("node", F.col("label").alias("component"))
 
 
-def with_smallest(members: DataFrame) -> DataFrame:
+def with_smallest(scratch: Scratch, members: DataFrame) -> DataFrame:
     """``node, group_id``: the component named by its smallest vertex."""
-    least = members.groupBy("component").agg(F.min("node").alias("group_id"))
-    return members.join(least, "component").select("node", "group_id")
+    least = scratch.save(members.groupBy("component").agg(F.min("node").alias("group_id"), F.count("*").alias("n")), "least")
+    hubs = hubs_of(scratch, least.select(F.col("component").alias("node"), "n"))
+    return salted_join(members, least.select("component", "group_id"), "component", hubs).select("node", "group_id")

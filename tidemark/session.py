@@ -60,6 +60,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.written = 0
         self.tables: list[tuple[DataFrame, str]] = []
+        self.named: dict[str, str] = {}
 
     def save(self, df: DataFrame, tag: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
         """Write and read back; ``by`` names columns to partition the table by."""
@@ -70,6 +71,16 @@ class Scratch:
         self.tables.append((table, path))
         return table
 
+    def bucketed(self, df: DataFrame, columns: tuple[str, ...], buckets: int, tag: str = "b") -> DataFrame:
+        """Write in buckets by the hash of some columns, one file each: joins on these read the table without a shuffle."""
+        self.written += 1
+        path, name = f"{self.root}/{self.written:04d}-{tag}", f"scratch_{uuid.uuid4().hex}"
+        df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
+        table = self.spark.table(name)
+        self.tables.append((table, path))
+        self.named[path] = name
+        return table
+
     def drop(self, *gone: DataFrame) -> None:
         for table, path in self.tables:
             if any(table is x for x in gone):
@@ -90,6 +101,8 @@ class Scratch:
         return result
 
     def _delete(self, path: str) -> None:
+        if path in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(path)}")
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
