@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import groups, history, overlap, proportions, related_splits, survivors
+from tidemark.operators import graph
 from tidemark.session import Scratch
 
 ITEM = "item_id bigint, dataset string, domain string, stem string, classes array<int>, num_boxes int, hash bigint, split string, scene_key string, collected_by string, licence string, captured_at timestamp_ntz, loaded_at timestamp_ntz"
@@ -339,6 +340,18 @@ def test_chunks():
     assert len(set(parts) & set(moved)) > 0.95 * len(set(parts))
 
 
+def test_long_chains_and_hubs(spark, monkeypatch):
+    """Clusters grow until no front moves, and rows of a hub are spread."""
+    monkeypatch.setattr(graph, "HUB", 20)
+    edges = [(k, k + 1) for k in range(150)] + [(500, 501 + k) for k in range(90)]
+    want = grouped(edges, {x for e in edges for x in e})
+    table = spark.createDataFrame(edges, "src bigint, dst bigint")
+    for rule in (groups.shifted_clusters(), groups.shifted_clusters(0.02), related_splits.frontier_clusters):
+        scratch = Scratch(spark, "test")
+        found = graph.with_smallest(scratch, graph.components(scratch, table, rule)).collect()
+        assert {r.node: r.group_id for r in found} == want and len(found) == len(want)
+
+
 @pytest.mark.parametrize("least", [1.0, 0.7, 0.4])
 def test_chunk_overlaps(spark, least):
     """Shared chunk lengths of all pairs, counted one by one; no pair is lost to the rarest chunks."""

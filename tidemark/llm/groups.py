@@ -8,47 +8,44 @@ to super-vertices, and the edges left between clusters are treated the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators.graph import both_ways, components, with_smallest
+from tidemark.operators.graph import Adjacency, components, with_smallest
 from tidemark.session import Scratch
 
-RATE = 0.15
-HOPS = 6
+RATE = 0.2
 
 
-def shifted_clusters(rate: float = RATE, hops: int = HOPS, seed: int = 42):
+def shifted_clusters(rate: float = RATE, seed: int = 42):
     """The contraction rule.
 
-    A vertex joins the cluster whose front arrives first, counted as hops minus the shift of
-    its centre, ties to the smaller centre. Only vertices whose best arrival has
-    improved pass it on, for at most ``hops`` rounds a level; what is then still unsettled
-    is left to the next level, as a label always names a vertex of the same component. Of
-    the edges a share of about ``rate`` is left between clusters, and as each level has
-    far fewer of them its rate is a quarter of the one before.
+    A vertex joins the cluster whose front arrives first, counted as hops minus the exponential shift of
+    its centre. Only vertices whose arrival has improved pass it on, until none has. With n vertices no shift is likely to exceed
+    2 ln n / ``rate``, and no cluster grows by more hops than that; an edge is left between clusters with a chance of at most
+    1 - exp(-``rate``), on every level alike.
     """
 
-    def rule(scratch: Scratch, edges: DataFrame, level: int) -> DataFrame:
-        adjacency = both_ways(edges)
-        draw = F.shiftrightunsigned(F.xxhash64("src", F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53))
-        arrival = F.struct((F.log1p(-draw) / (rate / 4**level)).alias("at"), F.col("src").alias("label"))
-        front = scratch.save(adjacency.select("src").distinct().select(F.col("src").alias("node"), arrival.alias("best")), "starts")
-        known = front
-        for _ in range(hops):
-            if front.isEmpty():
-                break
-            passed = front.join(adjacency, F.col("node") == F.col("src")).select(
-                F.col("dst").alias("node"), F.struct((F.col("best.at") + 1).alias("at"), "best.label").alias("best"), F.lit(True).alias("new")
-            )
-            # ``known`` holds every arrival a vertex ever had, of which the least is the current one.
-            met = known.withColumn("new", F.lit(False)).unionByName(passed).groupBy("node").agg(
-                F.min(F.when(~F.col("new"), F.col("best"))).alias("had"), F.min(F.when(F.col("new"), F.col("best"))).alias("best")
-            )
-            front = scratch.save(met.where(F.col("best") < F.col("had")).select("node", "best"), "front")
-            known = known.unionAll(front)
-        return known.groupBy("node").agg(F.min("best").alias("best")).select("node", "best.label")
+    def rule(scratch: Scratch, edges: DataFrame, level: int, hubs: DataFrame | None = None) -> DataFrame:
+        adjacency = Adjacency(scratch, edges, hubs)
+        start = lambda c: F.log1p(-(F.shiftrightunsigned(F.xxhash64(c, F.lit(seed), F.lit(level)), 11) / F.lit(float(1 << 53)))) / rate
+        # The first hop needs no front: every vertex has its own start and those of its neighbours.
+        every = adjacency.table.select(F.col("src").alias("node"), F.explode(F.array(F.struct(start("src").alias("at"), F.col("src").alias("label")), F.struct((start("dst") + 1).alias("at"), F.col("dst").alias("label")))).alias("a"))
+        best = every.groupBy("node").agg(F.min("a.at").alias("at"), F.min_by("a.label", "a.at").alias("label"))
+        now = scratch.save(best.select("node", "at", "label", (F.col("label") != F.col("node")).alias("moved")), "arrivals")
+        while True:
+            front = now.where("moved").select("node", (F.col("at") + 1).alias("new_at"), F.col("label").alias("new_label"))
+            passed = adjacency.reached(front).groupBy("node").agg(F.min("new_at").alias("new_at"), F.min_by("new_label", "new_at").alias("new_label"))
+            better = F.coalesce(F.col("new_at") < F.col("at"), F.lit(False))
+            met = now.drop("moved").join(passed, "node", "left")
+            after = met.select("node", F.when(better, F.col("new_at")).otherwise(F.col("at")).alias("at"), F.when(better, F.col("new_label")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
+            seen = Observation()
+            after = scratch.save(after.observe(seen, F.count_if("moved").alias("moved")), "arrivals")
+            scratch.drop(now)
+            now = after
+            if not seen.get["moved"]:
+                return now.select("node", "label")
 
     return rule
 
@@ -76,7 +73,7 @@ def consolidate(pairs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pairs.sparkSession, "groups")
     members = scratch.save(components(scratch, decided_edges(pairs), shifted_clusters()), "members")
-    return scratch.finish(with_smallest(members).select(F.col("node").alias("item_id"), "group_id"))
+    return scratch.finish(with_smallest(scratch, members).select(F.col("node").alias("item_id"), "group_id"))
 
 
 def all_items(items: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ however many items share a key.
 
 Components come from a frontier breadth-first search. At each level the seeds are the
 vertices that outrank all their neighbours by (degree, hash); all seeds expand
-at once over the flat, hash-partitioned adjacency table until every vertex has the
+at once over the adjacency table, written in buckets by the hash of the source, until every vertex has the
 label of a seed; labels that touch make the edges of a smaller graph, which is
 treated the same way. A hub outranks its leaves, so a star takes one level and one
 round.
@@ -23,31 +23,26 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.llm.images import records
-from tidemark.operators.graph import both_ways, components
+from tidemark.operators.graph import Adjacency, components, hubs_of, salted_join
 from tidemark.operators.hamming import hamming_join
 from tidemark.session import Scratch
 
 SPLITS = (("train", 0.7), ("val", 0.2), ("test", 0.1))
 
 
-def frontier_clusters(scratch: Scratch, edges: DataFrame, level: int) -> DataFrame:
+def frontier_clusters(scratch: Scratch, edges: DataFrame, level: int, hubs: DataFrame | None = None) -> DataFrame:
     """The contraction rule: breadth-first search from many seeds at once."""
-    adjacency = both_ways(edges)
-    degree = adjacency.groupBy("src").agg(F.count("*").alias("degree"))
-    rank = F.struct("degree", F.xxhash64("src", F.lit(level)).alias("draw"), "src")
-    ranked = scratch.save(degree.select(F.col("src").alias("node"), rank.alias("rank")), "ranks")
-    there = ranked.select(F.col("node").alias("dst"), F.col("rank").alias("near"))
-    highest = adjacency.join(there, "dst").groupBy("src").agg(F.max("near").alias("near"))
-    seeds = highest.join(ranked, F.col("src") == F.col("node")).where(F.col("rank") > F.col("near"))
+    adjacency = Adjacency(scratch, edges, hubs)
+    # Degree first, then a draw; of two neighbours that are equal in both, both are seeds, and their labels meet.
+    drawn = F.shiftleft(F.col("degree"), 24).bitwiseOR(F.xxhash64("node", F.lit(level)).bitwiseAND(F.lit((1 << 24) - 1)))
+    degree = adjacency.table.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    ranked = scratch.save(degree.select("node", drawn.alias("rank")), "ranks")
+    highest = adjacency.reached(ranked.select("node", F.col("rank").alias("near"))).groupBy("node").agg(F.max("near").alias("near"))
+    seeds = highest.join(ranked, "node").where(F.col("rank") >= F.col("near"))
     frontier = scratch.save(seeds.select("node", F.col("node").alias("label")), "frontier")
     rounds = [frontier]
     while not frontier.isEmpty():
-        met = (
-            frontier.join(adjacency, F.col("node") == F.col("src"))
-            .groupBy("dst")
-            .agg(F.min("label").alias("label"))
-            .select(F.col("dst").alias("node"), "label")
-        )
+        met = adjacency.reached(frontier).groupBy("node").agg(F.min("label").alias("label"))
         # A vertex next to round r was first met in round r - 1, r or r + 1.
         for seen in rounds[-2:]:
             met = met.join(seen.select("node"), "node", "left_anti")
@@ -111,7 +106,9 @@ def divided_groups(table: DataFrame, threshold: int = 3) -> DataFrame:
         .agg(F.min("given").alias("low"), F.max("given").alias("high"))
         .where(F.col("low") != F.col("high"))
     )
-    return scratch.finish(groups.join(spread, "component", "left_semi").select(F.col("id").alias("item_id")))
+    sizes = groups.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n"))
+    divided = salted_join(groups, spread.select("component"), "component", hubs_of(scratch, sizes))
+    return scratch.finish(divided.select(F.col("id").alias("item_id")))
 
 
 def _by_hash_order(position: Column, total: Column, splits: tuple[tuple[str, float], ...]) -> Column:
@@ -147,7 +144,7 @@ def assign_splits(
     alone = items.join(groups, "id", "left_anti").select(F.col("id").alias("component"), F.lit(1).cast("bigint").alias("size"), F.col("id").alias("group_id"))
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group_id")))
     placed = scratch.save(
-        sizes.unionAll(alone).withColumn("draw", drawn).withColumn("bucket", F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint") % buckets), "placed"
+        sizes.unionAll(alone).withColumn("draw", drawn).withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / 2**32 * buckets)), "placed"
     )
     per_bucket = placed.groupBy("bucket").agg(F.sum("size").alias("held"))
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,4 +155,5 @@ def assign_splits(
     middle = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     dealt = placed.join(F.broadcast(offsets), "bucket").select("component", "group_id", _by_hash_order(middle, F.col("total"), splits).alias("new_split"))
     whole = items.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return scratch.finish(whole.join(dealt, "component").select(F.col("id").alias("item_id"), "group_id", "new_split"))
+    hubs = hubs_of(scratch, placed.select(F.col("component").alias("node"), F.col("size").alias("n")))
+    return scratch.finish(salted_join(whole, dealt, "component", hubs).select(F.col("id").alias("item_id"), "group_id", "new_split"))

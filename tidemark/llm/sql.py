@@ -13,7 +13,7 @@ def _missing(column: str) -> str:
     return f"coalesce({_spelled(column)} IN ('', 'unknown', 'none', 'na', 'null', 'tbd'), true)"
 
 
-P1 = f"""
+_RELATED = f"""
 WITH RECURSIVE i AS MATERIALIZED (
   SELECT DISTINCT item_id, {STEM} AS stem_key, nullif(hash, 0) AS h, nullif(lower(trim(split)), '') AS split,
     CASE WHEN NOT {_missing('scene_key')} THEN {_spelled('scene_key')} END AS scene,
@@ -28,8 +28,15 @@ e AS MATERIALIZED (
   SELECT k.item_id AS a, hub.hub AS b FROM k JOIN hub ON k.kind = hub.kind AND k.key = hub.key
   UNION SELECT x.item_id, y.item_id FROM i x JOIN i y ON bit_count(xor(x.h, y.h)) <= 3),
 both_ways AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT item_id, item_id AS other FROM i UNION SELECT r.item_id, e.b FROM r JOIN both_ways e ON e.a = r.other)
-SELECT r.item_id FROM r JOIN i ON i.item_id = r.other GROUP BY r.item_id HAVING count(DISTINCT i.split) > 1"""
+r AS (SELECT item_id, item_id AS other FROM i UNION SELECT r.item_id, e.b FROM r JOIN both_ways e ON e.a = r.other)"""
+
+P1 = f"{_RELATED} SELECT r.item_id FROM r JOIN i ON i.item_id = r.other GROUP BY r.item_id HAVING count(DISTINCT i.split) > 1"
+
+P1_SPLITS = f"""{_RELATED},
+g AS (SELECT item_id, min(other) AS group_id FROM r GROUP BY item_id),
+z AS (SELECT group_id, count(*) AS size FROM g GROUP BY group_id),
+d AS (SELECT group_id, coalesce(sum(size) OVER (ORDER BY md5('42:' || group_id), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2::DOUBLE AS middle, sum(size) OVER () AS total FROM z)
+SELECT item_id, group_id, CASE WHEN middle < total * {0.7!r}::DOUBLE THEN 'train' WHEN middle < total * {0.7 + 0.2!r}::DOUBLE THEN 'val' ELSE 'test' END AS new_split FROM g JOIN d USING (group_id)"""
 
 _CATEGORISED = f"""
 i AS (SELECT DISTINCT item_id, lower(trim(split)) AS split, lower(trim(dataset)) AS dataset,
@@ -117,6 +124,7 @@ SELECT split, dataset, count(*) AS items, count(*) FILTER (stem OR dist IS NOT N
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1,
+        "p1_splits": P1_SPLITS,
         "p2_found": P2,
         "p2_report": P2_REPORT,
         "p3_found": P3.format("NOT"),
