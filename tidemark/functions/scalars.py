@@ -33,3 +33,10 @@ def class_id(token: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def micros(time: Column) -> Column:
+    """Microseconds since 1970 of a wall clock time without zone, in no zone's terms."""
+    day = F.unix_date(F.to_date(time)).cast("bigint") * 86_400
+    clock = F.hour(time).cast("bigint") * 3600 + F.minute(time) * 60
+    return (day + clock) * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("bigint")

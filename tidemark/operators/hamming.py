@@ -4,7 +4,8 @@ Cut 64 bits into ``threshold + agree`` runs. Two hashes that differ in at most
 ``threshold`` bits leave at least ``agree`` runs untouched, so an equi join on every
 choice of ``agree`` runs finds all of them. Five runs of which two agree give keys of
 25 bits: a billion hashes make about thirty to a bucket, where the usual four
-runs of 16 bits would make fifteen thousand. A pair is emitted only under the
+runs of 16 bits would make fifteen thousand; for a few million hashes those four are
+cheaper, and ``cheapest_agree`` tells which to take. A pair is emitted only under the
 first choice on which it agrees, which spares a shuffle to remove repeats.
 
 Buckets that hold more than ``hot`` hashes are keyed once more by the bits that the
@@ -14,12 +15,15 @@ whole however many hashes it holds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits
 
 HOT = 2000
+ROW = 40
 
 
 def choices_of(threshold: int = 3, agree: int = 2) -> list[int]:
@@ -49,6 +53,18 @@ def _matches(a: DataFrame, b: DataFrame, on: list[str], threshold: int, once, se
     return pairs.select("hash_a", "hash_b", F.bit_count(xor).cast("int").alias("dist"))
 
 
+def cheapest_agree(hashes: int, threshold: int = 3) -> int:
+    """How many runs to agree on for so many hashes: more runs make more rows to shuffle and fewer candidates to compare.
+
+    A shuffled row is taken to cost as much as ``ROW`` comparisons. The pairs are the same for every choice.
+    """
+
+    def cost(agree: int) -> float:
+        return math.comb(threshold + agree, agree) * (ROW + hashes / 2 ** (64 * agree / (threshold + agree)) / 2)
+
+    return min((1, 2, 3), key=cost)
+
+
 def hamming_join(
     left: DataFrame, right: DataFrame | None = None, threshold: int = 3, agree: int = 2, hot: int = HOT
 ) -> DataFrame:

@@ -102,7 +102,7 @@ def load_lines(
     ``lines`` are ignored, whatever their names.
     """
     spark = lines.sparkSession
-    once = lines.select(F.col(line_id).alias("line_id"), F.coalesce(F.col(text), F.lit("")).alias("line")).dropDuplicates(["line_id"])
+    once = lines.select(F.col(line_id).alias("line_id"), F.coalesce(F.col(text), F.lit("")).alias("line")).distinct()
     pieces = F.split("line", '"', -1)
     parsed = once.select("line_id", _well_quoted(pieces).alias("quoted"), _cells(pieces).alias("cells"))
     broken = parsed.where(~F.col("quoted") | (F.size("cells") != len(columns))).select(
@@ -116,7 +116,10 @@ def load_lines(
     whole = parsed.where(F.col("quoted") & (F.size("cells") == len(columns)))
     exploded = whole.select("line_id", F.posexplode("cells").alias("at", "field")).withColumn("value", _value(F.col("field")))
     # The rule table is a literal of this module, a row to a rule; only the members need a size check, which is left to the planner.
-    ruled = exploded.join(F.broadcast(table), "at").join(words.withColumn("member", F.lit(True)), "value", "left")
+    ruled = exploded.join(F.broadcast(table), "at")
+    # Only cells that must be members are looked up, so that values such as '' of other columns make no hot key.
+    sought = ruled.withColumn("sought", F.when(F.col("check") == "member", F.col("value")))
+    ruled = sought.join(words.select(F.col("value").alias("sought"), F.lit(True).alias("member")), "sought", "left")
     check = F.col("check")
     passes = (
         F.when(check == "count", _is_count(F.col("value")))

@@ -24,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """One row an item: ``item_id, dataset, domain, stem, classes, num_boxes, hash, split, military``."""
-    raw = table(spark, folder, "items").dropDuplicates(["item_id"])
+    raw = table(spark, folder, "items").select("item_id", "dataset", "domain", "stem", "classes", "num_boxes", "hash", "split").distinct()
     known = table(spark, folder, "class_names").select("class_id")
     placed = with_domain(raw, table(spark, folder, "dataset_domains")).select(
         "item_id", text.word(F.col("dataset")).alias("dataset"), "domain", text.stem(F.col("stem")).alias("stem"), "classes",
@@ -46,7 +46,7 @@ def ordered_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
     """The label lines, each once, as they are."""
-    return table(spark, folder, "label_boxes").drop("scene_key").dropDuplicates(["item_id", "box_idx"])
+    return table(spark, folder, "label_boxes").select("item_id", "box_idx", "class_id", "cx", "cy", "w", "h").distinct()
 
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
