@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.scalars import micros
 from tidemark.operators.graph import Adjacency, components, with_smallest
 from tidemark.session import Scratch
 
@@ -59,11 +60,10 @@ def decided_edges(pairs: DataFrame) -> DataFrame:
     for nothing.
     """
     ends = pairs.where(F.col("item_a").isNotNull() & F.col("item_b").isNotNull() & (F.col("item_a") != F.col("item_b")))
-    latest = (
-        ends.groupBy(F.least("item_a", "item_b").alias("src"), F.greatest("item_a", "item_b").alias("dst"))
-        .agg(F.max(F.struct("matched_at", "pair_id", text.word(F.col("verdict")).alias("verdict"))).alias("last"))
-    )
-    return latest.where(F.col("last.verdict") == "match").select("src", "dst")
+    # One number in the order of time and id, nulls first; a flat value needs no sorted aggregate.
+    turn = F.coalesce(micros(F.col("matched_at")), F.lit(-(10**18))).cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.coalesce(F.col("pair_id"), F.lit(-(1 << 63))).cast("decimal(20,0)")
+    rows = ends.select(F.least("item_a", "item_b").alias("src"), F.greatest("item_a", "item_b").alias("dst"), turn.cast("decimal(38,0)").alias("turn"), (text.word(F.col("verdict")) == "match").alias("says"))
+    return rows.groupBy("src", "dst").agg(F.max_by("says", "turn").alias("says")).where("says").select("src", "dst")
 
 
 def consolidate(pairs: DataFrame) -> DataFrame:

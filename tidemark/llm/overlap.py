@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.llm.images import records
 from tidemark.llm.shapes import digests
-from tidemark.operators.hamming import hamming_join
+from tidemark.operators.hamming import cheapest_agree, hamming_join
 from tidemark.session import Scratch
 
 WINDOW = 4
@@ -127,7 +127,7 @@ def _links(scratch: Scratch, train: DataFrame, held: DataFrame, threshold: int,
     same = overlaps(*sides, "stem_key").where(F.col("held") == F.col("known")).select(F.col("held").alias("stem_key"))
     a = _distinct(held, "real_hash").select(F.col("real_hash").alias("hash"))
     b = _distinct(train, "real_hash").select(F.col("real_hash").alias("hash"))
-    return scratch.save(same, "stems"), scratch.save(hamming_join(a, b, threshold=threshold), "hashes")
+    return scratch.save(same, "stems"), scratch.save(hamming_join(a, b, threshold=threshold, agree=cheapest_agree(train.count() + held.count(), threshold)), "hashes")
 
 
 def overlapping_pairs(items: DataFrame, threshold: int = 3) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.llm.images import valid_classes
+from tidemark.operators.ranking import hashed_rank
 from tidemark.session import Scratch
 
 BUCKETS = 1024
@@ -44,7 +45,7 @@ def categorised(items: DataFrame, classes: DataFrame, domains: DataFrame) -> Dat
             text.present(F.col("domain"), text.word(F.col("domain"))).alias("domain"),
             F.array_distinct("classes").alias("classes"),
         )
-        .dropDuplicates(["item_id"])
+        .distinct()
     )
     exploded = rows.select("item_id", "split", "dataset", "domain", F.explode("classes").alias("class_id")).join(valid_classes(classes), "class_id")
     held = exploded.groupBy("class_id").agg(F.count("*").alias("held"))
@@ -128,18 +129,11 @@ def draw(items: DataFrame, classes: DataFrame, domains: DataFrame, targets: Data
     """
     scratch = Scratch(items.sparkSession, "sample")
     report = shortfalls(items, classes, domains, targets, scratch)
-    drawn = F.xxhash64(F.lit(seed), F.col("item_id"))
-    rows = scratch.save(categorised(items, classes, domains).withColumn("draw", drawn).withColumn("bucket", F.pmod(F.shiftright("draw", 32), F.lit(buckets))), "rows")
-    group = ["split", "category"]
-    held = rows.groupBy(*group, "bucket").agg(F.count("*").alias("held"))
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select(*group, "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("draw", "item_id")
-    ranked = rows.withColumn("inside", F.row_number().over(inside)).join(offsets, [*group, "bucket"]).select(
-        "item_id", *group, (F.col("before") + F.col("inside")).alias("place")
-    )
-    seats = report.where(F.col("drawn") > 0).select("request_id", *group, "target_share", "drawn")
-    kept = ranked.join(seats, group).where(F.col("place") <= F.col("drawn"))
+    rows = scratch.save(categorised(items, classes, domains), "rows")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("item_id")))
+    ranked = hashed_rank(rows, ["split", "category"], drawn, "item_id", buckets=buckets)
+    seats = report.where(F.col("drawn") > 0).select("request_id", "split", "category", "target_share", "drawn")
+    kept = ranked.join(seats, ["split", "category"]).where(F.col("place") <= F.col("drawn"))
     return scratch.finish(
         kept.select("request_id", "category", "item_id", "place", F.try_divide(F.col("place") - 0.5, F.col("target_share")).alias("priority"))
     )

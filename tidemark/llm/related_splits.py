@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.llm.images import records
 from tidemark.operators.graph import Adjacency, components, hubs_of, salted_join
-from tidemark.operators.hamming import hamming_join
+from tidemark.operators.hamming import cheapest_agree, hamming_join
 from tidemark.session import Scratch
 
 SPLITS = (("train", 0.7), ("val", 0.2), ("test", 0.1))
@@ -69,7 +69,7 @@ def relations(scratch: Scratch, items: DataFrame, threshold: int = 3) -> DataFra
     shared = hubs.where(F.col("size") > 1)
     stars = keyed.join(shared, ["kind", "key"]).where(F.col("id") != F.col("hub")).select(F.col("hub").alias("src"), F.col("id").alias("dst"))
     of_hash = hubs.where(F.col("kind") == "hash").select(F.col("key").cast("bigint").alias("hash"), "hub")
-    near = hamming_join(of_hash.select("hash"), threshold=threshold)
+    near = hamming_join(of_hash.select("hash"), threshold=threshold, agree=cheapest_agree(of_hash.count(), threshold))
     a = of_hash.select(F.col("hash").alias("hash_a"), F.col("hub").alias("src"))
     b = of_hash.select(F.col("hash").alias("hash_b"), F.col("hub").alias("dst"))
     return stars.unionAll(near.join(a, "hash_a").join(b, "hash_b").select("src", "dst"))

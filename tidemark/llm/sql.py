@@ -65,6 +65,11 @@ SELECT t.request_id, t.split, t.category, t.target_share, t.min_rows, t.sample_s
   available < round(target_share * sample_size, 9) OR available < min_rows AS short
 FROM t LEFT JOIN d ON d.request_id = t.request_id AND d.category = t.category"""
 
+P2_SAMPLE = f"""
+WITH report AS ({P2_REPORT.strip()}), {_CATEGORISED},
+k AS (SELECT item_id, split, category, row_number() OVER (PARTITION BY split, category ORDER BY md5('42:' || item_id), item_id) AS place FROM p)
+SELECT request_id, category, item_id, place, (place - 0.5::DOUBLE) / target_share AS priority FROM k JOIN report USING (split, category) WHERE place <= drawn"""
+
 P3 = f"""
 WITH RECURSIVE i AS MATERIALIZED (SELECT DISTINCT {STEM} AS s, nullif(hash, 0) AS h FROM items),
 n AS MATERIALIZED (SELECT DISTINCT new_id, batch_no, {STEM} AS s, nullif(hash, 0) AS h FROM new_items),
@@ -127,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_splits": P1_SPLITS,
         "p2_found": P2,
         "p2_report": P2_REPORT,
+        "p2_sample": P2_SAMPLE,
         "p3_found": P3.format("NOT"),
         "p3_accepted": P3.format(""),
         "p4_found": P4,

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits, text
+from tidemark.functions.scalars import micros
 from tidemark.llm.images import class_ids
 from tidemark.session import Scratch
 
@@ -52,7 +53,7 @@ def _members(scratch: Scratch, items: DataFrame, classes: DataFrame, domains: Da
 def _told(members: DataFrame) -> DataFrame:
     """``hash, source, item_id, rank, field, held``: the filled fields of every member, and its place in the order of trust, least first."""
     # Datasets without a rank come last, then a null loaded_at, then the larger ids.
-    late = F.coalesce(-F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(9223372036854775807))
+    late = F.coalesce(-micros(F.col("loaded_at")), F.lit(9223372036854775807))
     rank = F.struct(F.coalesce(F.col("trust_rank"), F.lit(2147483647)).alias("trust"), late.alias("late"), F.col("item_id").alias("item_id"))
     each = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("held")) for f in FIELDS)), lambda x: x["held"].isNotNull())
     return members.select("hash", F.coalesce("source", F.lit("")).alias("source"), "item_id", rank.alias("rank"), F.explode(each).alias("x")).select("hash", "source", "item_id", "rank", "x.field", "x.held")
