@@ -122,5 +122,28 @@ def test_stream(spark, tmp_path):
     stream = frames.until(frames.sampled(frames.read_frames(spark, str(tmp_path / "in"), rows), 2, 10.0, "event_id"), 16, "event_id")
     frames.run_to_parquet(frames.running_summary(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     state = spark.read.parquet(str(tmp_path / "out"))
-    last = state.where(F.col("batch") == state.agg(F.max("batch")).first()[0])
-    assert last.agg(F.sum("n")).first()[0] == 8 and last.count() == 3
+    assert state.agg(F.sum("n")).first()[0] == 8 and state.count() == 3
+    assert not (tmp_path / "out.new").exists()
+
+
+def test_source_tree_to_labels(spark, tmp_path):
+    from tidemark.operators import convert
+
+    held = {"train/labels/a.txt": "0 .5 .5 .2 .2\n\n1 .1 .1 .1 .1\nx .1 .1 .1 .1\n9 .5 .5 .1 .1\n", "train/labels/b.txt": "1 .5 .5 .2 .2\n", "train/labels/empty.txt": "\n", "valid/labels/a.txt": "0 .1 .1 .3 .1 .3 .4\n0 .5 .5 .5 .6 .5 .7\n0 .1 .2\n",
+            "valid/labels/lost.txt": "0 .5 .5 .2 .2\n", "notes.txt": "0 .5 .5 .2 .2\n"}
+    pictures = ["train/images/a.PNG", "train/images/a.jpg", "train/images/b.jpg", "train/images/empty.jpg", "valid/images/a.jpg"]
+    for name, content in [*held.items(), *((p, "x") for p in pictures)]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    mappings = spark.createDataFrame([("src", "ship", "boat"), ("src", "pier", None)], "dataset string, native string, target string")
+    classes = spark.createDataFrame([(4, "boat")], "class_id int, name string")
+    tree = convert.source_tree(spark, str(tmp_path))
+    labels, counts = convert.convert_yolo(*tree, ["ship", "pier"], "src", mappings, classes)
+    got = sorted((r.root.split("/")[-1], r.stem, r.path.split("/")[-1], r.class_id, round(r.cx, 6), round(r.cy, 6), round(r.w, 6), round(r.h, 6)) for r in labels.collect())
+    assert got == [("train", "a", "a.jpg", 4, 0.5, 0.5, 0.2, 0.2), ("valid", "a", "a.jpg", 4, 0.2, 0.25, 0.2, 0.3)]
+    assert {(r.part, r.outcome): r.n for r in counts.collect()} == {
+        ("file", "written"): 2, ("file", "no_labels"): 2, ("file", "no_image"): 1, ("line", "written"): 2, ("line", "dropped"): 2,
+        ("line", "bad_line"): 1, ("line", "out_of_range"): 1, ("line", "degenerate"): 1, ("line", "malformed"): 1,
+    }
+    with pytest.raises(ValueError, match="no mappings"):
+        convert.convert_yolo(*tree, ["ship"], "other", mappings, classes)

@@ -64,18 +64,19 @@ def sweep(flags: DataFrame, truth: DataFrame, thresholds: tuple[float, ...]) ->
     return full.select(F.col("cut").alias("conf"), "tp", "fp", "fn", ratio(tp, tp + F.col("fn")).alias("recall"), ratio(tp, tp + F.col("fp")).alias("precision"))
 
 
-def precision_recall(flags: DataFrame, truth: DataFrame, steps: int = 100) -> DataFrame:
-    """``class_id, level, tp, fp, recall, precision``: the curve of each class at ``steps`` levels of confidence.
+def precision_recall(flags: DataFrame, truth: DataFrame) -> DataFrame:
+    """``class_id, conf, tp, fp, recall, precision``: the curve of each class at every confidence a prediction has.
 
-    Flags are counted by level first, so the running sums go over a table of classes by levels.
+    Running sums go over ranges of confidence first and then inside each, so that no task holds a whole class.
     """
-    level = F.least(F.floor(F.col("conf") * steps), F.lit(steps - 1)).cast("int")
-    counted = flags.groupBy("class_id", level.alias("level")).agg(F.count_if("hit").alias("t"), F.count_if(~F.col("hit")).alias("f"))
-    down = Window.partitionBy("class_id").orderBy(F.desc("level"))
-    run = counted.withColumn("tp", F.sum("t").over(down)).withColumn("fp", F.sum("f").over(down))
-    total = truth.groupBy("class_id").agg(F.count("*").alias("n"))
-    joined = run.join(total, "class_id", "left")
-    return joined.select("class_id", "level", "tp", "fp", ratio(F.col("tp"), F.coalesce("n", F.lit(0))).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    counted = flags.groupBy("class_id", "conf").agg(F.count_if("hit").alias("t"), F.count_if(~F.col("hit")).alias("f")).withColumn("range", F.floor(F.col("conf") * 1000))
+    down = Window.partitionBy("class_id").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.groupBy("class_id", "range").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+    before = before.select("class_id", "range", *(F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"{c}_before") for c in "tf"))
+    inside = Window.partitionBy("class_id", "range").orderBy(F.desc("conf"))
+    run = counted.join(before, ["class_id", "range"]).select("class_id", "conf", (F.sum("t").over(inside) + F.col("t_before")).alias("tp"), (F.sum("f").over(inside) + F.col("f_before")).alias("fp"))
+    joined = run.join(truth.groupBy("class_id").agg(F.count("*").alias("n")), "class_id", "left")
+    return joined.select("class_id", "conf", "tp", "fp", ratio(F.col("tp"), F.coalesce("n", F.lit(0))).alias("recall"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def recall_table(flags: DataFrame, truth: DataFrame, domains: DataFrame, military: list[int], conf_military: float = 0.10, conf: float = 0.25) -> DataFrame:
@@ -122,6 +123,36 @@ def outcomes(truth: DataFrame, predictions: DataFrame, flags: DataFrame, conf: f
 
 
 def median_short_side(truth: DataFrame) -> DataFrame:
-    """``class_id, median_side`` in pixels."""
+    """``class_id, median_side`` in pixels.
+
+    Boxes are counted by whole pixels first; only those in the pixels that hold the middle ranks are sorted.
+    """
     side = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    return truth.groupBy("class_id").agg(F.round(F.percentile(side, 0.5), 6).alias("median_side"))
+    rows = truth.select("class_id", side.alias("side")).where(F.col("side").isNotNull()).withColumn("pixel", F.floor("side"))
+    held = rows.groupBy("class_id", "pixel").agg(F.count("*").alias("held"))
+    own = Window.partitionBy("class_id")
+    before = F.coalesce(F.sum("held").over(own.orderBy("pixel").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("held").over(own)
+    middle = held.select("class_id", "pixel", "held", before.alias("before"), F.floor((total + 1) / 2).alias("low"), (F.floor(total / 2) + 1).alias("high"))
+    middle = middle.where((F.col("before") < F.col("high")) & (F.col("before") + F.col("held") >= F.col("low"))).drop("held")
+    place = F.row_number().over(Window.partitionBy("class_id", "pixel").orderBy("side")) + F.col("before")
+    chosen = rows.join(middle, ["class_id", "pixel"]).withColumn("place", place).where((F.col("place") == F.col("low")) | (F.col("place") == F.col("high")))
+    return chosen.groupBy("class_id").agg(F.round(F.avg("side"), 6).alias("median_side"))
+
+
+def training_counts(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """``part, split, class_id, n``: the images of each split (``part`` is ``images``), with or without labels, and the instances of each class in it.
+
+    ``images``: ``image_id, split``; ``labels``: ``image_id, class_id``, one row a box. Images without a split and labels of no such image count nowhere.
+    """
+    placed = images.where(F.col("split").isNotNull()).select("image_id", "split")
+    pictures = placed.groupBy("split").agg(F.count("*").alias("n")).select(F.lit("images").alias("part"), "split", F.lit(None).cast("int").alias("class_id"), "n")
+    found = labels.where(F.col("class_id").isNotNull()).join(placed, "image_id").groupBy("split", "class_id").agg(F.count("*").alias("n"))
+    return pictures.unionAll(found.select(F.lit("instances").alias("part"), "split", F.col("class_id").cast("int").alias("class_id"), "n"))
+
+
+def trainable(counts: DataFrame, military: list[int], split: str = "train") -> DataFrame:
+    """``military_in_train, passed``: training without one military instance can never pass the gate on their recall."""
+    own = (F.col("part") == "instances") & (F.col("split") == split) & F.col("class_id").isin(*military)
+    total = counts.agg(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("military_in_train"))
+    return total.withColumn("passed", F.col("military_in_train") > 0)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.functions.geometry import clamp, to_normalized, to_pixels
 from tidemark.functions.pixels import above_median
-from tidemark.operators import augment, mapping, naming, neardup, split, validate
+from tidemark.operators import augment, convert, mapping, naming, neardup, split, validate
 from tidemark.plans import views
-from tidemark.plans.views import ITEMS, STEM, TRUTH
+from tidemark.plans.views import BOXES, ITEMS, STEM, TRUTH
 from tidemark.sources import labels, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +31,6 @@ def query(sql: str | None = None):
     return wrap
 
 
-BOXES = "bx AS (SELECT DISTINCT item_id, box_idx, class_id, cx, cy, w, h FROM label_boxes)"
-
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return views.boxes(spark, folder).select("item_id", "box_idx", F.concat_ws(" ", *(F.col(c).cast("string") for c in ("class_id", "cx", "cy", "w", "h"))).alias("line"))
@@ -219,6 +217,18 @@ def q17_dedup_audit(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.audit_totals(_drops(spark, folder))
 
 
+@query(f"WITH RECURSIVE {_GREEDY} SELECT dist, count(*) AS dropped FROM best GROUP BY dist")
+def q17b_drop_distances(spark: SparkSession, folder: str) -> DataFrame:
+    return _drops(spark, folder).groupBy("dist").agg(F.count("*").alias("dropped"))
+
+
+@query(f"WITH RECURSIVE {_GREEDY}, g AS (SELECT rep_id, count(*) + 1 AS size FROM best GROUP BY rep_id) SELECT size, count(*) AS groups FROM g GROUP BY size")
+def q17c_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many groups of a kept picture and its drops there are of each size."""
+    sizes = _drops(spark, folder).groupBy("rep_id").agg((F.count("*") + 1).alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("groups"))
+
+
 @query(f"WITH RECURSIVE {_GREEDY} SELECT it.item_id, best.item_id IS NULL AS kept, rep_id, dist FROM it LEFT JOIN best ON best.item_id = it.item_id")
 def q18_greedy_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.greedy_dedup(views.ordered_items(spark, folder))
@@ -267,17 +277,21 @@ def q20b_leakage(spark: SparkSession, folder: str) -> DataFrame:
     return validate.leakage(views.items(spark, folder).select("split", "stem", "hash"))
 
 
-@query(f"""WITH {ITEMS}, i AS (SELECT DISTINCT split, item_id::VARCHAR AS stem FROM it WHERE num_boxes > 0), l AS (SELECT DISTINCT it.split, b.item_id::VARCHAR AS stem FROM label_boxes b JOIN it ON it.item_id = b.item_id)
-SELECT split, stem, 'image_without_label' AS rule FROM i WHERE split IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.split = i.split AND l.stem = i.stem)
-UNION ALL SELECT split, stem, 'label_without_image' FROM l WHERE split IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i WHERE l.split = i.split AND l.stem = i.stem)""")
+@query(f"""WITH {ITEMS}, i AS (SELECT DISTINCT coalesce(split, '') AS split, item_id::VARCHAR AS stem FROM it), l AS (SELECT DISTINCT coalesce(it.split, '') AS split, b.item_id::VARCHAR AS stem FROM label_boxes b LEFT JOIN it ON it.item_id = b.item_id WHERE b.class_id IN (SELECT class_id FROM class_names))
+SELECT split, stem, 'image_without_label' AS rule FROM i WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.split = i.split AND l.stem = i.stem)
+UNION ALL SELECT split, stem, 'label_without_image' FROM l WHERE NOT EXISTS (SELECT 1 FROM i WHERE l.split = i.split AND l.stem = i.stem)""")
 def q20c_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.items(spark, folder).where(F.col("split").isNotNull()).select("item_id", "split", "num_boxes")
+    """All images, and all labels of a class there is; those without a split are one more place."""
+    rows = views.items(spark, folder).select("item_id", F.coalesce("split", F.lit("")).alias("split"))
     name = F.col("item_id").cast("string").alias("stem")
-    held = views.boxes(spark, folder).select("item_id").distinct().join(rows, "item_id").select("split", name)
-    return validate.orphans(rows.where(F.col("num_boxes") > 0).select("split", name), held)
+    known = views.boxes(spark, folder).join(views.table(spark, folder, "class_names").select("class_id").distinct(), "class_id", "left_semi")
+    held = known.select("item_id").distinct().join(rows, "item_id", "left").select(F.coalesce("split", F.lit("")).alias("split"), name)
+    return validate.orphans(rows.select("split", name), held)
 
 
-@query(f"WITH {BOXES} SELECT count(*) AS boxes, sum((class_id IS NULL)::INT + (class_id IS NOT NULL)::INT * ((class_id NOT BETWEEN 0 AND 7)::INT + (cx NOT BETWEEN 0 AND 1)::INT + (cy NOT BETWEEN 0 AND 1)::INT + (w NOT BETWEEN 0 AND 1)::INT + (h NOT BETWEEN 0 AND 1)::INT + (w <= 0 OR h <= 0)::INT))::BIGINT AS errors, false AS ok FROM bx".replace("(class_id IS NOT NULL)::INT * (", "coalesce((class_id IS NOT NULL)::INT * (").replace("(w <= 0 OR h <= 0)::INT))", "(w <= 0 OR h <= 0)::INT), 0))"))
+@query(f"""WITH {BOXES}, e AS (SELECT CASE WHEN class_id IS NULL THEN 1 ELSE coalesce((class_id NOT BETWEEN 0 AND 7)::INT + (cx NOT BETWEEN 0 AND 1)::INT + (cy NOT BETWEEN 0 AND 1)::INT
+  + (w NOT BETWEEN 0 AND 1)::INT + (h NOT BETWEEN 0 AND 1)::INT + (w <= 0 OR h <= 0)::INT, 0) END AS n FROM bx)
+SELECT count(*) AS boxes, sum(n)::BIGINT AS errors, sum(n) = 0 AS ok FROM e""")
 def q20d_report(spark: SparkSession, folder: str) -> DataFrame:
     return validate.report(_lines(spark, folder), 8)
 
@@ -306,13 +320,11 @@ def q22_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return split.manifest(views.items(spark, folder).drop("split", "domain").join(_split(spark, folder).drop("class_id"), "item_id"))
 
 
-@query(f"WITH {ITEMS} SELECT split, count(DISTINCT stem) AS stems, count(*) FILTER (stem IS NOT NULL) AS items FROM it WHERE split IS NOT NULL AND stem IS NOT NULL GROUP BY split")
+@query(f"WITH {ITEMS} SELECT split, stem, min(domain) AS domain FROM it WHERE split IS NOT NULL AND stem IS NOT NULL GROUP BY split, stem")
 def q22b_domain_maps(spark: SparkSession, folder: str) -> DataFrame:
-    """The domain map of each split as JSON, read back and counted."""
+    """The domain map of each split as JSON, read back."""
     rows = views.items(spark, folder).where(F.col("split").isNotNull() & F.col("stem").isNotNull())
-    flat = results.flat_domains(results.domain_json(rows.select("split", "stem", "domain")))
-    stems = flat.groupBy("split").agg(F.count("*").alias("stems"))
-    return stems.join(rows.groupBy("split").agg(F.count("*").alias("items")), "split")
+    return results.flat_domains(results.domain_json(rows.select("split", "stem", "domain")))
 
 
 @query(f"WITH {ITEMS} SELECT dataset, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM it GROUP BY dataset")
@@ -408,6 +420,39 @@ def q41_report_rows(spark: SparkSession, folder: str) -> DataFrame:
     return results.scrape_tables(docs).select("doc_id", "row_no", F.array_join("cells", "/").alias("cells"))
 
 
+# Items stand for the label files; those that name a stem have an image. Ids 0 to 6 are the source's classes.
+_SOURCE = f"""{ITEMS}, {BOXES}, {_MAPPING_SQL}, nm AS (SELECT * FROM class_names WHERE class_id < 7),
+f AS (SELECT item_id, stem IS NOT NULL AS pictured FROM it),
+l AS (SELECT bx.*, nm.name, CASE WHEN e.native IS NOT NULL THEN e.target ELSE w.target END AS target, e.native IS NOT NULL OR w.native IS NOT NULL AS listed
+  FROM bx JOIN f ON f.item_id = bx.item_id AND f.pictured LEFT JOIN nm ON nm.class_id = bx.class_id
+  LEFT JOIN mp e ON e.dataset = 'coastcam' AND e.native = nm.name LEFT JOIN mp w ON w.dataset = 'coastcam' AND w.native = '*'),
+j AS (SELECT l.item_id, l.box_idx, c.class_id, CASE WHEN l.class_id IS NULL THEN 'bad_line' WHEN l.name IS NULL THEN 'out_of_range' WHEN NOT listed THEN 'unmapped' WHEN c.class_id IS NULL THEN 'dropped'
+  WHEN cx IS NULL OR cy IS NULL OR w IS NULL OR h IS NULL THEN 'malformed' ELSE 'written' END AS outcome FROM l LEFT JOIN class_names c ON c.name = l.target),
+k AS (SELECT DISTINCT item_id FROM j WHERE outcome = 'written')"""
+
+
+def _converted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    items = views.items(spark, folder)
+    files = items.select(F.lit("src").alias("root"), F.col("item_id").cast("string").alias("stem"))
+    images = items.where(F.col("stem").isNotNull()).select(F.lit("src").alias("root"), F.col("item_id").cast("string").alias("stem"), F.lit("jpg").alias("ext"), F.col("stem").alias("path"))
+    written = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    lines = views.boxes(spark, folder).select(F.lit("src").alias("root"), F.col("item_id").cast("string").alias("stem"), F.concat_ws(" ", *(written(c) for c in ("class_id", "cx", "cy", "w", "h"))).alias("line"))
+    classes = views.table(spark, folder, "class_names")
+    names = [r["name"] for r in classes.where("class_id < 7").orderBy("class_id").collect()]
+    return convert.convert_yolo(files, lines, images, names, "coastcam", spark.createDataFrame(list(MAPPING), "dataset string, native string, target string"), classes)
+
+
+@query(f"WITH {_SOURCE} SELECT item_id::VARCHAR AS stem, class_id, count(*) AS n FROM j WHERE outcome = 'written' GROUP BY ALL")
+def q43_converted_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _converted(spark, folder)[0].groupBy("stem", "class_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SOURCE} SELECT 'line' AS part, outcome, count(*) AS n FROM j GROUP BY outcome
+UNION ALL SELECT 'file', CASE WHEN NOT pictured THEN 'no_image' WHEN k.item_id IS NOT NULL THEN 'written' ELSE 'no_labels' END AS outcome, count(*) FROM f LEFT JOIN k ON k.item_id = f.item_id GROUP BY ALL""")
+def q43b_conversion_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return _converted(spark, folder)[1]
+
+
 def queries() -> dict:
     return QUERIES
 

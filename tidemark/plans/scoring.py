@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geometry import CORNERS, iou
 from tidemark.operators import detections, evaluate
 from tidemark.plans import views
-from tidemark.plans.views import ITEMS, PREDICTIONS, TRUTH, sql_iou
+from tidemark.plans.views import BOXES, ITEMS, PREDICTIONS, TRUTH, sql_iou
 from tidemark.session import Scratch
 from tidemark.streaming import frames
 
@@ -47,12 +47,13 @@ st AS (SELECT image_id, class_id, 0::BIGINT AS k, []::INT[] AS used, NULL::INT A
 fl AS MATERIALIZED (SELECT r.image_id, r.class_id, r.box_idx, r.conf, s.truth_idx IS NOT NULL AS hit, s.truth_idx FROM st s JOIN rk r ON r.image_id = s.image_id AND r.class_id = s.class_id AND r.k = s.k)"""
 
 
-@query(f"WITH {PREDICTIONS} SELECT p.image_id, p.class_id, p.box_idx AS pred_idx, t.box_idx AS truth_idx, round({sql_iou('p', 't')}, 6) AS iou FROM pr p JOIN tr t ON t.image_id = p.image_id AND t.class_id = p.class_id")
+@query(f"WITH {PREDICTIONS} SELECT p.image_id, p.class_id, p.box_idx AS pred_idx, t.box_idx AS truth_idx, round({sql_iou('p', 't')}, 6) AS iou FROM pr p JOIN tr t ON t.image_id = p.image_id AND t.class_id = p.class_id WHERE {sql_iou('p', 't')} > 0")
 def q27_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     box = F.struct(*CORNERS)
     t = views.truth(spark, folder).select("image_id", "class_id", F.col("box_idx").alias("truth_idx"), box.alias("t"))
     p = views.predictions(spark, folder).select("image_id", "class_id", F.col("box_idx").alias("pred_idx"), box.alias("p"))
-    return p.join(t, ["image_id", "class_id"]).select("image_id", "class_id", "pred_idx", "truth_idx", F.round(iou(F.col("p"), F.col("t")), 6).alias("iou"))
+    met = p.join(t, ["image_id", "class_id"]).withColumn("iou", iou(F.col("p"), F.col("t"))).where(F.col("iou") > 0)
+    return met.select("image_id", "class_id", "pred_idx", "truth_idx", F.round("iou", 6).alias("iou"))
 
 
 @query(f"WITH RECURSIVE {_MATCH} SELECT * FROM fl")
@@ -69,9 +70,9 @@ def q29_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_MATCH}, n AS (SELECT class_id, count(*) AS n FROM tr GROUP BY class_id),
-b AS (SELECT class_id, least(floor(conf * 100), 99)::INT AS level, count(*) FILTER (hit) AS t, count(*) FILTER (NOT hit) AS f FROM fl GROUP BY ALL),
-r AS (SELECT class_id, level, sum(t) OVER w::BIGINT AS tp, sum(f) OVER w::BIGINT AS fp FROM b WINDOW w AS (PARTITION BY class_id ORDER BY level DESC))
-SELECT r.class_id, level, tp, fp, round(coalesce(tp / n, 0), 9) AS recall, round(tp / (tp + fp), 9) AS precision FROM r LEFT JOIN n ON n.class_id = r.class_id""".replace("OVER w::BIGINT", "OVER w"))
+b AS (SELECT class_id, conf, count(*) FILTER (hit) AS t, count(*) FILTER (NOT hit) AS f FROM fl GROUP BY ALL),
+r AS (SELECT class_id, conf, sum(t) OVER w AS tp, sum(f) OVER w AS fp FROM b WINDOW w AS (PARTITION BY class_id ORDER BY conf DESC))
+SELECT r.class_id, conf, tp::BIGINT AS tp, fp::BIGINT AS fp, round(coalesce(tp / n, 0), 9) AS recall, round(tp / (tp + fp), 9) AS precision FROM r LEFT JOIN n ON n.class_id = r.class_id""")
 def q29b_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
     found = evaluate.precision_recall(_flags(spark, folder), views.truth(spark, folder))
     return found.withColumns({c: F.round(c, 9) for c in ("recall", "precision")})
@@ -158,16 +159,36 @@ def q38_group_summary(spark: SparkSession, folder: str) -> DataFrame:
     return detections.group_summary(_detections(spark, folder), ("civilian", "small_craft", "military", "other", "unseen"))
 
 
-@query("SELECT event_type, count(*) AS n, max(value) AS max_value, count(DISTINCT user_id) AS tracks FROM events WHERE event_id % 5 = 0 GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, max(value) AS max_value, count(DISTINCT user_id) AS tracks FROM events GROUP BY event_type")
 def q40_stream_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """The feature: every fifth frame of a stream, summed up; the stream reads what is there and stops."""
+    """Every frame of a stream, summed up; the stream reads what is there and stops."""
     like = views.table(spark, folder, "events")
     scratch = Scratch(spark, "stream")
-    stream = frames.sampled(frames.read_frames(spark, folder, like, "events.parquet"), 5, 25.0, "event_id")
+    stream = frames.sampled(frames.read_frames(spark, folder, like, "events.parquet"), 1, 25.0, "event_id")
     frames.run_to_parquet(frames.running_summary(stream), f"{scratch.root}/state", f"{scratch.root}/offsets")
     state = spark.read.parquet(f"{scratch.root}/state")
-    last = state.agg(F.max("batch").alias("batch"))
-    return state.join(last, "batch", "left_semi").groupBy("event_type").agg(F.sum("n").alias("n"), F.max("max_value").alias("max_value"), F.count("*").alias("tracks"))
+    result = scratch.save(state.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("max_value").alias("max_value"), F.count("*").alias("tracks")), "result")
+    for done in ("state", "offsets"):
+        scratch.remove(f"{scratch.root}/{done}")
+    return result
+
+
+@query(f"""WITH {ITEMS}, {BOXES}, s AS (SELECT item_id, split FROM it WHERE split IS NOT NULL)
+SELECT 'images' AS part, split, NULL::INT AS class_id, count(*) AS n FROM s GROUP BY split
+UNION ALL SELECT 'instances', split, class_id, count(*) FROM bx JOIN s USING (item_id) WHERE class_id IS NOT NULL GROUP BY split, class_id""")
+def q42_training_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _training_counts(spark, folder)
+
+
+def _training_counts(spark: SparkSession, folder: str) -> DataFrame:
+    images = views.items(spark, folder).select(F.col("item_id").alias("image_id"), "split")
+    labels = views.boxes(spark, folder).select(F.col("item_id").alias("image_id"), "class_id")
+    return evaluate.training_counts(labels, images)
+
+
+@query(f"""WITH {ITEMS}, {BOXES} SELECT count(*) AS military_in_train, count(*) > 0 AS passed FROM bx JOIN it USING (item_id) WHERE split = 'train' AND class_id = 7""")
+def q42b_trainable(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.trainable(_training_counts(spark, folder), views.MILITARY)
 
 
 def queries() -> dict:

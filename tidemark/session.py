@@ -100,6 +100,10 @@ class Scratch:
         self.keep(result)
         return result
 
+    def remove(self, path: str) -> None:
+        """Delete a folder that is no table of this run."""
+        self._delete(path)
+
     def _delete(self, path: str) -> None:
         if path in self.named:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(path)}")

@@ -24,13 +24,15 @@ def write_manifest(rows: DataFrame, path: str) -> None:
     rows.orderBy("split", "stem").write.mode("overwrite").option("header", True).csv(path)
 
 
-def domain_json(items: DataFrame) -> DataFrame:
-    """``split, domains``: a JSON object from stem to domain for each split, as files of that layout hold it.
+def domain_json(items: DataFrame, most: int = 100_000) -> DataFrame:
+    """``split, part, domains``: JSON objects from stem to domain for each split, as files of that layout hold them.
 
-    A split is one JSON text, as the format demands; keep the flat table where it is large.
+    A split of more than ``most`` stems is several objects, by the hash of the stem, as one value cannot hold any number.
     """
     pairs = items.groupBy("split", "stem").agg(F.min("domain").alias("domain"))
-    return pairs.groupBy("split").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stem", "domain"))))).alias("domains"))
+    parts = pairs.groupBy("split").agg(F.ceil(F.count("*") / most).alias("parts"))
+    placed = pairs.join(F.broadcast(parts), "split").withColumn("part", F.pmod(F.xxhash64("stem"), F.col("parts")))
+    return placed.groupBy("split", "part").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stem", "domain"))))).alias("domains"))
 
 
 def flat_domains(texts: DataFrame) -> DataFrame:

@@ -42,10 +42,16 @@ def run_to_table(stream: DataFrame, table: str, checkpoint: str, mode: str = "co
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there; each batch replaces the whole state at ``path/batch=n``, of which the highest is current."""
+    """Process what is there; ``path`` holds the whole state after the last batch, and that of no other."""
+    fresh = f"{path}.new"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(fresh)
+        jvm = batch.sparkSession._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+        files = old.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        files.rename(new, old)
 
     query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
