@@ -16,7 +16,7 @@ from tidemark.functions.scalars import micros
 from tidemark.operators.graph import Adjacency, components, with_smallest
 from tidemark.session import Scratch
 
-RATE = 0.1
+RATE = 0.2
 
 
 def shifted_clusters(rate: float = RATE, seed: int = 42):
