@@ -117,8 +117,9 @@ def load_lines(
     exploded = whole.select("line_id", F.posexplode("cells").alias("at", "field")).withColumn("value", _value(F.col("field")))
     # The rule table is a literal of this module, a row to a rule; only the members need a size check, which is left to the planner.
     ruled = exploded.join(F.broadcast(table), "at")
-    # Only cells that must be members are looked up, so that values such as '' of other columns make no hot key.
-    sought = ruled.withColumn("sought", F.when(F.col("check") == "member", F.col("value")))
+    # Only cells that must be members are looked up; the others get a key of their line that no member has, so that neither '' nor null is a hot key.
+    beside = F.concat(F.lit("\x00"), F.col("line_id").cast("string"))
+    sought = ruled.withColumn("sought", F.when(F.col("check") == "member", F.col("value")).otherwise(beside))
     ruled = sought.join(words.select(F.col("value").alias("sought"), F.lit(True).alias("member")), "sought", "left")
     check = F.col("check")
     passes = (
