@@ -1,5 +1,6 @@
 """Readers over files as the tools write them."""
 
+import json
 import struct
 import zlib
 
@@ -109,7 +110,9 @@ def test_manifest_and_chunks(spark, tmp_path):
 def test_wire_and_log(spark, tmp_path):
     rows = detections.stub(spark).withColumn("j", detections.to_wire(F.col("class_name"), F.col("confidence"), F.col("bbox"), F.lit(3), F.lit(None).cast("double")))
     first = rows.first()
-    assert first.j.startswith('{"class":"military_vessel","confidence":0.91,"bbox":[') and "timestamp" not in first.j
+    assert first.j.startswith('{"class":"military_vessel","confidence":0.91,"bbox":[') and first.j.endswith('"frame":3,"timestamp":null}')
+    arrays = detections.wire_arrays(rows.selectExpr("1 AS picture", "class_name", "confidence", "bbox", "CAST(NULL AS INT) AS frame", "0.5D AS timestamp"), "picture").first().records
+    assert [d["class"] for d in json.loads(arrays)] == ["military_vessel", "cargo", "speedboat"] and json.loads(arrays)[0]["frame"] is None
     assert rows.select(detections.from_wire(F.col("j")).alias("d")).first().d["class"] == "military_vessel"
     log = rows.selectExpr("1 AS frame", "0.04D AS timestamp_s", "CAST(NULL AS BIGINT) AS track_id", "class_name", "'x' AS group", "confidence", "1.0D AS x1", "1.0D AS y1", "2.0D AS x2", "2.0D AS y2")
     detections.write_log(detections.log_rows(log), str(tmp_path / "log"))
@@ -126,6 +129,19 @@ def test_stream(spark, tmp_path):
     assert not (tmp_path / "out.new").exists()
 
 
+def test_collected_tree(spark, tmp_path):
+    from tidemark.operators import convert
+
+    held = {"d1/labels/a.txt": "2 .5 .5 .2 .2\n0 .5 .5 .1 .1\n2 .1 .1 .1 .1\n", "d1/labels/blank.txt": " \n", "d1/labels/lost.txt": "1 .5 .5 .2 .2\n", "d2/labels/a.txt": "1 .5 .5 .2 .2\n", "d3/images/a.jpg": "x"}
+    for name, content in [*held.items(), *((p, "x") for p in ("d1/images/a.png", "d1/images/blank.jpg", "d2/images/a.jpg"))]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    domains = spark.createDataFrame([("d1", "aerial")], "dataset string, domain string")
+    items, skipped = convert.collect_items(*convert.source_tree(spark, str(tmp_path)), domains, "surface")
+    assert sorted((r.dataset, r.domain, r.stem, r.classes, r.num_boxes, r.path.split("/")[-1]) for r in items.collect()) == [("d1", "aerial", "d1__a", [0, 2], 3, "a.png"), ("d2", "surface", "d2__a", [1], 1, "a.jpg")]
+    assert {(r.dataset, r.outcome): r.n for r in skipped.collect()} == {("d1", "collected"): 1, ("d1", "empty_label"): 1, ("d1", "no_image"): 1, ("d2", "collected"): 1, ("d3", "no_labels"): 1}
+
+
 def test_source_tree_to_labels(spark, tmp_path):
     from tidemark.operators import convert
 

@@ -60,3 +60,23 @@ def convert_yolo(files: DataFrame, lines: DataFrame, images: DataFrame, names: l
     per_file = pictured.join(kept, KEY, "left").groupBy(F.lit("file").alias("part"), end.alias("outcome")).agg(F.count("*").alias("n"))
     per_line = judged.groupBy(F.lit("line").alias("part"), "outcome").agg(F.count("*").alias("n"))
     return labels, per_file.unionAll(per_line)
+
+
+def collect_items(files: DataFrame, lines: DataFrame, images: DataFrame, domains: DataFrame, default: str) -> tuple[DataFrame, DataFrame]:
+    """``(items, outcomes)`` of an interim tree, whose roots are one folder a dataset, as ``source_tree`` reads it.
+
+    ``items``: ``dataset, domain, stem, path, classes, num_boxes`` of every label file with an image and at least one line; the stem is
+    ``<dataset>__<name>``, the domain that of ``domains`` (``dataset, domain``) or ``default``. ``outcomes``: ``dataset, outcome, n`` of the label files: ``collected``,
+    ``no_image`` or ``empty_label``; a dataset with images alone has one ``no_labels``.
+    """
+    dataset = F.element_at(F.split("root", "/"), -1)
+    beside = image_for_stem(images.select(F.struct("root", "stem").alias("stem"), "ext", "path")).select("stem.root", "stem.stem", "path")
+    held = yolo(lines).groupBy(*KEY).agg(F.array_sort(F.collect_set("class_id")).alias("classes"), F.count("*").alias("num_boxes"))
+    told = files.select(*KEY).distinct().join(beside, KEY, "left").join(held, KEY, "left").withColumn("dataset", dataset)
+    end = F.when(F.col("path").isNull(), "no_image").when(F.col("num_boxes").isNull(), "empty_label").otherwise("collected")
+    judged = told.withColumn("outcome", end)
+    homes = domains.groupBy("dataset").agg(F.min("domain").alias("domain"))
+    placed = judged.where(F.col("outcome") == "collected").join(homes, "dataset", "left")
+    items = placed.select("dataset", F.coalesce("domain", F.lit(default)).alias("domain"), F.concat_ws("__", "dataset", "stem").alias("stem"), "path", "classes", "num_boxes")
+    bare = images.select("root").distinct().join(files.select("root").distinct(), "root", "left_anti").select(dataset.alias("dataset"), F.lit("no_labels").alias("outcome"), F.lit(1).cast("bigint").alias("n"))
+    return items, judged.groupBy("dataset", "outcome").agg(F.count("*").alias("n")).unionAll(bare)

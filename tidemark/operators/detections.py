@@ -17,9 +17,20 @@ def keep(detections: DataFrame, conf: float = 0.25, conf_military: float = 0.10)
     return detections.where(F.col("confidence") >= min(conf, conf_military)).where(F.col("confidence") >= own)
 
 
+def _record(name: Column, confidence: Column, bbox: Column, frame: Column, timestamp: Column) -> Column:
+    return F.struct(name.alias("class"), confidence.alias("confidence"), bbox.alias("bbox"), frame.alias("frame"), timestamp.alias("timestamp"))
+
+
 def to_wire(name: Column, confidence: Column, bbox: Column, frame: Column, timestamp: Column) -> Column:
-    """One detection as JSON with the keys class, confidence, bbox, frame, timestamp; null ones are left out."""
-    return F.to_json(F.struct(name.alias("class"), confidence.alias("confidence"), bbox.alias("bbox"), frame.alias("frame"), timestamp.alias("timestamp")))
+    """One detection as JSON with the keys class, confidence, bbox, frame, timestamp, null ones too."""
+    return F.to_json(_record(name, confidence, bbox, frame, timestamp), {"ignoreNullFields": "false"})
+
+
+def wire_arrays(detections: DataFrame, key: str) -> DataFrame:
+    """``key, records``: the detections of a picture or frame (``class_name, confidence, bbox, frame, timestamp``) as one JSON array, surest first."""
+    each = F.struct((-F.col("confidence")).alias("rank"), F.col("class_name").alias("by"), F.col("bbox").alias("box"), _record(*(F.col(c) for c in ("class_name", "confidence", "bbox", "frame", "timestamp"))).alias("record"))
+    held = detections.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("held"))
+    return held.select(key, F.to_json(F.transform("held", lambda h: h["record"]), {"ignoreNullFields": "false"}).alias("records"))
 
 
 def from_wire(text: Column) -> Column:

@@ -453,6 +453,35 @@ def q43b_conversion_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return _converted(spark, folder)[1]
 
 
+# Items stand for label files below the folder of their dataset; those that name a stem have an image.
+_INTERIM = f"""{ITEMS}, {BOXES}, f AS (SELECT item_id, dataset, stem IS NOT NULL AS pictured FROM it WHERE dataset IS NOT NULL),
+b AS (SELECT item_id, count(*) AS num_boxes, string_agg(DISTINCT class_id::VARCHAR, ',' ORDER BY class_id::VARCHAR) AS classes FROM bx WHERE class_id IS NOT NULL GROUP BY item_id),
+c AS (SELECT f.*, num_boxes, classes, CASE WHEN NOT pictured THEN 'no_image' WHEN num_boxes IS NULL THEN 'empty_label' ELSE 'collected' END AS outcome FROM f LEFT JOIN b ON b.item_id = f.item_id)"""
+
+
+def _collected(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    items = views.items(spark, folder).where(F.col("dataset").isNotNull())
+    name = F.col("item_id").cast("string").alias("stem")
+    root = F.concat(F.lit("interim/"), "dataset").alias("root")
+    files = items.select(root, name)
+    images = items.where(F.col("stem").isNotNull()).select(root, name, F.lit("jpg").alias("ext"), F.col("stem").alias("path"))
+    boxes = views.boxes(spark, folder).where(F.col("class_id").isNotNull()).join(items.select("item_id", "dataset"), "item_id")
+    lines = boxes.select(root, name, F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("class_id", "cx", "cy", "w", "h"))).alias("line"))
+    return convert.collect_items(files, lines, images, views.table(spark, folder, "dataset_domains").select("dataset", "domain"), "surface")
+
+
+@query(f"""WITH {_INTERIM} SELECT c.dataset, coalesce(d.domain, 'surface') AS domain, c.dataset || '__' || item_id AS stem, classes, num_boxes FROM c
+LEFT JOIN (SELECT dataset, min(domain) AS domain FROM dataset_domains GROUP BY dataset) d ON d.dataset = c.dataset WHERE outcome = 'collected'""")
+def q44_collected_items(spark: SparkSession, folder: str) -> DataFrame:
+    found = _collected(spark, folder)[0]
+    return found.select("dataset", "domain", "stem", F.concat_ws(",", F.transform("classes", lambda c: c.cast("string"))).alias("classes"), "num_boxes")
+
+
+@query(f"WITH {_INTERIM} SELECT dataset, outcome, count(*) AS n FROM c GROUP BY dataset, outcome")
+def q44b_collection_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return _collected(spark, folder)[1]
+
+
 def queries() -> dict:
     return QUERIES
 
