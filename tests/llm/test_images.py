@@ -157,6 +157,25 @@ def test_history(spark, seed, run_rows):
     assert {r.new_id for r in got if r.accepted} == want and len(got) == len(rows)
 
 
+def test_history_appends_every_batch(spark, monkeypatch):
+    """Unasked, every batch is appended before the next, however small, and only what is appended turns away rows of a later one."""
+    items = spark.createDataFrame([(9, "z", None)], "item_id bigint, stem string, hash bigint")
+    new = [(0, None, "a", None), (1, 1, "a", None), (2, 1, "b", 15 << 20), (3, 2, "c", 14 << 20), (4, 2, "c", None), (5, 3, "d", 255 << 8), (6, 3, "e", 127 << 8)]
+    batches = spark.createDataFrame(new, "new_id bigint, batch_no int, stem string, hash bigint")
+    append, stored = history.SegmentIndex.append, []
+
+    def noted(index, accepted, count):
+        stored.append(sorted(r.stem_key for r in accepted.collect()))
+        if len(stored) <= most:
+            append(index, accepted, count)
+
+    monkeypatch.setattr(history.SegmentIndex, "append", noted)
+    for most, accepted, want in ((9, {0, 2, 4, 5}, [["z"], ["a"], ["b"], ["c"], ["d"]]), (1, {0, 1, 2, 3, 5}, [["z"], ["a"], ["a", "b"], ["c"], ["d"]])):
+        stored.clear()
+        assert {r.new_id for r in history.screened(items, batches).where("accepted").collect()} == accepted
+        assert stored == want
+
+
 def test_history_reads_the_cells_it_probes(spark):
     """A batch of one row reads a bounded part of an index, however large that is."""
     scratch = Scratch(spark, "test")

@@ -11,7 +11,8 @@ of which three differing bits leave two whole, stored in pairs under their place
 Stored segments lie in cells by a hash of their key, as many as the rows appended need, up to ``MOST_CELLS``.
 A batch reads the cells that its probes name and no others; a batch of one row names at most
 ten. Batches are taken one after the other, and what is accepted of each is appended, as one more generation of cells,
-before the next is checked. ``compact`` joins generations.
+before the next is checked against it. Generations that are there when a call begins do not change during it, so all batches
+of the call probe those at once. ``compact`` joins generations.
 """
 
 from __future__ import annotations
@@ -31,8 +32,13 @@ EDITS = 0
 CELL_ROWS, MOST_CELLS = 1 << 16, 1 << 12
 # Probing rows, of some tens of bytes, that may be broadcast.
 MOST_SENT = 1_000_000
-# Rows that make it worth while to screen a batch alone.
-RUN_ROWS = 25_000
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a maker of its paths."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 class CellStore:
@@ -47,18 +53,17 @@ class CellStore:
         """The cell of a row with the key columns, before it is cut to the cells of a generation."""
         return F.xxhash64(*self.key).bitwiseAND(F.lit(MOST_CELLS - 1)).cast("int")
 
-    def _files(self):
-        jvm = self.spark._jvm
-        at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        return at(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+    def last(self) -> int:
+        """The number of the newest generation, -1 without any."""
+        return max(self.generations, default=-1)
 
     def append(self, rows: DataFrame, count: int) -> None:
         """Add ``rows``, about ``count`` of them, as a new generation."""
         cells = min(MOST_CELLS, 1 << (max(0, count - 1) // self.cell_rows).bit_length())
-        number = max(self.generations, default=-1) + 1
+        number = self.last() + 1
         placed = rows.withColumn("cell", self.cell().bitwiseAND(F.lit(cells - 1))).repartition(cells, "cell").sortWithinPartitions("cell", *self.key)
         placed.write.partitionBy("cell").parquet(f"{self.path}/gen={number}")
-        files, at = self._files()
+        files, at = _files(self.spark, self.path)
         names = [f.getPath().getName() for f in files.listStatus(at(f"{self.path}/gen={number}"))]
         self.generations[number] = cells, {int(n[5:]) for n in names if n.startswith("cell=")}
 
@@ -66,10 +71,10 @@ class CellStore:
         """Every stored row."""
         return self.named(range(MOST_CELLS))
 
-    def named(self, wanted: Iterable[int]) -> DataFrame:
-        """The rows in the cells ``wanted`` (values of ``cell``); the folders of no other cell are opened or listed."""
+    def named(self, wanted: Iterable[int], after: int = -1) -> DataFrame:
+        """The rows in the cells ``wanted`` (values of ``cell``) of the generations ``after`` one; the folders of no other cell are opened or listed."""
         asked = set(wanted)
-        paths = [f"{self.path}/gen={g}/cell={c}" for g, (cells, held) in self.generations.items() for c in sorted(held & {w & (cells - 1) for w in asked})]
+        paths = [f"{self.path}/gen={g}/cell={c}" for g, (cells, held) in self.generations.items() if g > after for c in sorted(held & {w & (cells - 1) for w in asked})]
         if not paths:
             return self.spark.createDataFrame([], self.shape)
         return self.spark.read.schema(self.shape).parquet(*paths)
@@ -79,7 +84,7 @@ class CellStore:
         if len(self.generations) > 1:
             old, rows = list(self.generations), self.rows()
             self.append(rows, rows.count())
-            files, at = self._files()
+            files, at = _files(self.spark, self.path)
             for number in old:
                 files.delete(at(f"{self.path}/gen={number}"), True)
                 del self.generations[number]
@@ -141,14 +146,22 @@ def _distinct(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(column).where(F.col(column).isNotNull()).distinct()
 
 
-def _settle(scratch: Scratch, rows: DataFrame, near: dict[str, DataFrame]) -> DataFrame:
-    """``id, stem_key, real_hash`` of the rows accepted in order of id, each unless an accepted earlier one shows the same image.
+def _parted(scratch: Scratch, rows: DataFrame, tag: str) -> dict[bool, str]:
+    """Write rows that have ``leads``: the folders of those that lead and of those that do not, where there are any."""
+    scratch.save(rows, tag, ("leads",))
+    path = scratch.tables[-1][1]
+    files, at = _files(scratch.spark, path)
+    return {leads: folder for leads in (True, False) if files.exists(at(folder := f"{path}/leads={str(leads).lower()}"))}
+
 
-    A round accepts every row that comes before all undecided rows of its image and turns away all others of that
-    image. The first undecided id is kept for each stem and hash, so copies are never paired; ``near``
-    has both directions of the pairs of different keys that show one image.
+def _settle(scratch: Scratch, rows: DataFrame, near: dict[str, DataFrame]) -> list[str]:
+    """Folders with ``id, stem_key, real_hash`` of the rows accepted in order of id, each unless an accepted earlier one shows the same image.
+
+    Rows that ``leads`` marks share their image with no other row and are accepted. A round accepts every other row that comes before all undecided
+    rows of its image; those of that image are turned away as the next round begins. The first undecided id is kept for each stem and hash, so copies are
+    never paired; ``near`` has both directions of the pairs of different keys that show one image.
     """
-    columns = ["id", "stem_key", "real_hash"]
+    read = scratch.spark.read.schema(rows.drop("leads").schema).parquet
 
     def spread(held: DataFrame, column: str, value: list[str]) -> DataFrame:
         """``held`` (a key and values) at the key itself and at the keys near it."""
@@ -157,68 +170,91 @@ def _settle(scratch: Scratch, rows: DataFrame, near: dict[str, DataFrame]) -> Da
         beside = near[column].join(held.withColumnRenamed(column, "other"), "other").select(column, *value)
         return held.unionAll(beside)
 
-    waiting, accepted = rows, None
+    parts, accepted, taken = _parted(scratch, rows, "fresh"), [], None
     while True:
+        accepted += [parts[True]] if True in parts else []
+        if False not in parts:
+            return accepted
+        waiting = read(parts[False])
+        if taken is not None:
+            for column in ("stem_key", "real_hash"):
+                waiting = waiting.join(spread(_distinct(taken, column), column, []), column, "left_anti")
         judged = waiting
         for column in ("stem_key", "real_hash"):
             own = waiting.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias("first"))
             judged = judged.join(spread(own, column, ["first"]).groupBy(column).agg(F.min("first").alias(f"first_{column}")), column, "left")
         leads = F.coalesce(F.col("first_stem_key") >= F.col("id"), F.lit(True)) & F.coalesce(F.col("first_real_hash") >= F.col("id"), F.lit(True))
-        taken = scratch.save(judged.where(leads).select(*columns), "taken")
-        accepted = taken if accepted is None else accepted.unionAll(taken)
-        rest = waiting.join(taken.select("id"), "id", "left_anti")
-        for column in ("stem_key", "real_hash"):
-            rest = rest.join(spread(_distinct(taken, column), column, []), column, "left_anti")
-        waiting = scratch.save(rest.select(*columns), "waiting")
-        if waiting.isEmpty():
-            return accepted
+        parts = _parted(scratch, judged.select("id", "stem_key", "real_hash", leads.alias("leads")), "judged")
+        taken = read(parts[True]) if True in parts else None
+
+
+def _cells(table: DataFrame, store: CellStore) -> dict[object, set[int]]:
+    """The cells that the probes of each batch name."""
+    named: dict[object, set[int]] = {}
+    for r in table.select("batch", store.cell().alias("cell")).distinct().collect():
+        named.setdefault(r.batch, set()).add(r.cell)
+    return named
 
 
-def screen(scratch: Scratch, batches: DataFrame, index: SegmentIndex) -> list[tuple[object, DataFrame]]:
-    """``id, stem_key, real_hash`` of the accepted rows of each batch, taken one after the other and appended to the index.
+def screen(scratch: Scratch, batches: DataFrame, index: SegmentIndex) -> list[str]:
+    """Folders with ``id, stem_key, real_hash`` of the accepted rows of all batches, taken one after the other and appended to the index.
 
-    ``batches`` has the same columns and ``batch``. Batches are taken in order, a null one first, and rows of a batch by id.
-    What a batch holds of itself (its first rows, segments and pairs) is made for all batches that are there at once; the index is read and
-    appended to for each. A row without stem and hash shows no known image and is accepted.
+    ``batches`` has the same columns and ``batch``. Batches are taken in order, a null one first, and rows of a batch by id. What is stored
+    beforehand is probed for all batches that are there at once, as are the near pairs among them; what the call appends is probed
+    by each batch in its turn. A row without stem and hash shows no known image and is accepted.
     """
+    before = index.hashes.last(), index.stems.last()
+    per_row = max(len(choices_of(index.threshold)), (2 * index.edits + 1) ** 3)
+    # Probes whose counted rows are few are sent to the index, which then is not shuffled.
+    sent = lambda table, rows: F.broadcast(table) if rows * per_row <= MOST_SENT else table
     # Rows alike in stem and hash share their fate but for the first, so only that one is judged.
     bare = F.when(F.col("stem_key").isNull() & F.col("real_hash").isNull(), F.col("id"))
-    firsts = scratch.save(batches.groupBy("batch", "stem_key", "real_hash", bare.alias("bare")).agg(F.min("id").alias("id")).select("id", "stem_key", "real_hash", "batch"), "firsts", ("batch",))
-    hashes = firsts.where(F.col("real_hash").isNotNull()).select("batch", F.col("real_hash").alias("hash")).distinct()
-    probes = scratch.save(segments(hashes, index.threshold, keep=("batch",)), "probes", ("batch",))
-    stems = firsts.where(F.col("stem_key").isNotNull()).select("batch", "stem_key").distinct()
-    stem_side = scratch.save(stem_probes(stems, index.edits), "stem-probes", ("batch",))
-    cells: dict[tuple[str, object], set[int]] = {}
-    for kind, store, table in (("hash", index.hashes, probes), ("stem", index.stems, stem_side)):
-        for r in table.select("batch", store.cell().alias("cell")).distinct().collect():
-            cells.setdefault((kind, r.batch), set()).add(r.cell)
-
-    single = probes.drop("batch").distinct()
-    asked = {c for (kind, _), held in cells.items() if kind == "hash" for c in held}
-    stored = index.hashes.named(asked).join(single.select("choice", "bucket"), ["choice", "bucket"], "left_semi")
-    over: DataFrame | bool = scratch.save(hot_buckets(single, stored), "hot")
+    firsts = scratch.save(batches.groupBy("batch", "stem_key", "real_hash", bare.alias("bare")).agg(F.min("id").alias("id")).select("id", "stem_key", "real_hash", "batch"), "firsts")
+    total = firsts.count()
+    single = scratch.save(segments(_distinct(firsts, "real_hash").withColumnRenamed("real_hash", "hash"), index.threshold), "probes")
+    stem_side = scratch.save(stem_probes(_distinct(firsts, "stem_key"), index.edits), "stem-probes")
+    asked, asked_stems = (set().union(*_cells(t.withColumn("batch", F.lit(0)), store).values()) for t, store in ((single, index.hashes), (stem_side, index.stems)))
+    known = index.hashes.named(asked)
+    over: DataFrame | bool = scratch.save(hot_buckets(single, known.join(single.select("choice", "bucket"), ["choice", "bucket"], "left_semi")), "hot")
     over = False if over.isEmpty() else over
     pairs = match_segments(single, None, index.threshold, over=over)
     both = F.array(F.struct(F.col("hash_a").alias("real_hash"), F.col("hash_b").alias("other")), F.struct(F.col("hash_b").alias("real_hash"), F.col("hash_a").alias("other")))
     near = {"real_hash": scratch.save(pairs.select(F.explode(both).alias("p")).select("p.*"), "near")}
     if index.edits:
-        every = _distinct(firsts, "stem_key")
-        met = near_stems(stem_side.drop("batch").distinct(), stem_segments(every, index.edits), index.edits)
+        met = near_stems(stem_side, stem_segments(_distinct(firsts, "stem_key"), index.edits), index.edits)
         near["stem_key"] = scratch.save(met.where(F.col("stem_key") != F.col("other")), "near-stems")
 
-    sizes = {r.batch: r.n for r in firsts.groupBy("batch").agg(F.count("*").alias("n")).collect()}
-    per_row, accepted = max(len(choices_of(index.threshold)), (2 * index.edits + 1) ** 3), []
+    def unseen(rows: DataFrame, probes: DataFrame, known: DataFrame, stem_side: DataFrame, known_stems: DataFrame, count: int) -> DataFrame:
+        """The rows of which no stored one shows the image."""
+        # A key may be near many stored ones: distinct, no more is sent than was probed. Equal stems meet one.
+        seen = match_segments(sent(probes, count), known, index.threshold, over=over).select(F.col("hash_a").alias("real_hash")).distinct()
+        seen_stems = near_stems(sent(stem_side, count), known_stems, index.edits).select("stem_key")
+        seen_stems = seen_stems.distinct() if index.edits else seen_stems
+        return rows.join(sent(seen, count), "real_hash", "left_anti").join(sent(seen_stems, count), "stem_key", "left_anti")
+
+    left = scratch.save(unseen(firsts, single, known, stem_side, index.stems.named(asked_stems), total), "left")
+    # A row leads from the start if its stem and hash are of no other row and near none.
+    marked = left
+    for column in ("stem_key", "real_hash"):
+        crowded = left.where(F.col(column).isNotNull()).groupBy(column).count().where(F.col("count") > 1).select(column)
+        if column in near:
+            crowded = crowded.unionAll(near[column].select(column)).distinct()
+        marked = marked.join(crowded.withColumn(f"crowded_{column}", F.lit(True)), column, "left")
+    alone = F.col("crowded_stem_key").isNull() & F.col("crowded_real_hash").isNull()
+    waiting = scratch.save(marked.select("id", "stem_key", "real_hash", alone.alias("leads"), "batch"), "waiting", ("batch",))
+    hash_side = lambda rows, *keep: segments(rows.where(F.col("real_hash").isNotNull()).withColumnRenamed("real_hash", "hash"), index.threshold, keep=keep)
+    stems_of = lambda rows, *keep: stem_probes(rows.where(F.col("stem_key").isNotNull()).select(*keep, "stem_key"), index.edits)
+    cells, stem_cells = _cells(hash_side(waiting, "batch"), index.hashes), _cells(stems_of(waiting, "batch"), index.stems)
+
+    sizes, accepted = {r.batch: r.n for r in waiting.groupBy("batch").agg(F.count("*").alias("n")).collect()}, []
     for batch in sorted(sizes, key=lambda b: (b is not None, b)):
-        of_batch = lambda table: table.where(F.col("batch").eqNullSafe(F.lit(batch))).drop("batch")  # noqa: B023, E731
-        known = index.hashes.named(cells.get(("hash", batch), ()))
-        # A batch whose counted rows are few is sent to the index, which then is not shuffled.
-        sent = F.broadcast if sizes[batch] * per_row <= MOST_SENT else lambda table: table
-        seen = match_segments(sent(of_batch(probes)), known, index.threshold, over=over).select(F.col("hash_a").alias("real_hash"))
-        seen_stems = near_stems(sent(of_batch(stem_side)), index.stems.named(cells.get(("stem", batch), ())), index.edits).select("stem_key")
-        fresh = of_batch(firsts).join(seen, "real_hash", "left_anti").join(seen_stems, "stem_key", "left_anti")
-        taken = _settle(scratch, scratch.save(fresh.select("id", "stem_key", "real_hash"), "fresh"), near)
-        index.append(taken, sizes[batch])
-        accepted.append((batch, taken))
+        rows = waiting.where(F.col("batch").eqNullSafe(F.lit(batch))).drop("batch")
+        known, known_stems = index.hashes.named(cells.get(batch, ()), before[0]), index.stems.named(stem_cells.get(batch, ()), before[1])
+        fresh = unseen(rows, hash_side(rows), known, stems_of(rows), known_stems, sizes[batch])
+        taken = _settle(scratch, fresh.select("id", "stem_key", "real_hash", "leads"), near)
+        if taken:
+            index.append(scratch.spark.read.schema(rows.drop("leads").schema).parquet(*taken), sizes[batch])
+        accepted += taken
     return accepted
 
 
@@ -233,11 +269,11 @@ def _in_runs(sizes: dict[object, int], least: int) -> list[tuple[object, int, in
     return placed
 
 
-def screened(items: DataFrame, batches: DataFrame, threshold: int = THRESHOLD, edits: int = EDITS, cell_rows: int = CELL_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
+def screened(items: DataFrame, batches: DataFrame, threshold: int = THRESHOLD, edits: int = EDITS, cell_rows: int = CELL_ROWS, run_rows: int = 1) -> DataFrame:
     """``new_id, accepted`` of all batches: an index is built from the items once, and each batch in turn is screened and appended.
 
-    Batches are taken by ``batch_no``, a null one first, and rows of a batch by ``new_id``. Batches that are smaller than ``run_rows`` are
-    screened together with the next, in the same order, as the jobs of each would cost more than its rows. Repeated ids are identical
+    Batches are taken by ``batch_no``, a null one first, and rows of a batch by ``new_id``. Every batch is screened against what was appended of those
+    before it; only a caller who asks for ``run_rows`` has smaller ones screened together with the next, in the same order. Repeated ids are identical
     rows and count once, rows without an id not at all. Null stems and null or 0 hashes show no image. Without items the first
     batch is checked against itself alone.
     """
@@ -252,8 +288,7 @@ def screened(items: DataFrame, batches: DataFrame, threshold: int = THRESHOLD, e
     # One number in the order of batch and id.
     turn = F.col("place").cast("decimal(10,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col("id").cast("decimal(20,0)")
     rows = scratch.save(new.join(F.broadcast(runs), F.col("batch_no").eqNullSafe(F.col("named"))).select(F.col("id").alias("new_id"), turn.cast("decimal(38,0)").alias("id"), "stem_key", "real_hash", "batch"), "turns")
-    whole = rows.select("id").limit(0)
-    for _, taken in screen(scratch, rows.drop("new_id"), index):
-        whole = whole.unionAll(taken.select("id"))
+    taken = screen(scratch, rows.drop("new_id"), index)
+    whole = spark.read.schema(rows.select("id").schema).parquet(*taken) if taken else rows.select("id").limit(0)
     told = rows.join(whole.withColumn("accepted", F.lit(True)), "id", "left")
     return scratch.finish(told.select("new_id", F.coalesce("accepted", F.lit(False)).alias("accepted")))
